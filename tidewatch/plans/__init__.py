@@ -1,6 +1,6 @@
 """Driver-facing query plans. Importing this package registers every query."""
 
-from . import q_scoring  # noqa: F401
+from . import q_reads, q_scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

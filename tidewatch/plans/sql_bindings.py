@@ -187,6 +187,17 @@ def binding_ctes() -> dict[str, tuple[str, list[str]]]:
             f"['praise ' || CAST(conv_id AS VARCHAR)] AS top_praise, 'opportunity ' || CAST(conv_id AS VARCHAR) AS opportunity, "
             f"CAST(n AS INTEGER) AS review_count "
             f"FROM (SELECT conv_id, count(*) AS n, avg(length(text)) AS avg_len FROM conversations GROUP BY conv_id)", []),
+        "b_products": (
+            f"SELECT id, entity, detected_at, url, description AS raw_change, 'move ' || CAST(id AS VARCHAR) AS move, "
+            f"{pick(K.HOME_PRODUCTS, 'id')} AS home_product, "
+            f"CASE WHEN id % 13 = 0 THEN NULL ELSE {pick(T.THREAT_LEVEL_BINDING, 'id')} END AS threat_level, "
+            f"CASE WHEN id % 29 = 0 THEN '' WHEN id % 31 = 0 THEN ' : ' ELSE 'Review ' || change_type END AS recommended_action, "
+            f"detected_at AS analyzed_at FROM b_changes WHERE page_type = 'product_updates'", ["b_changes"]),
+        "b_history": (
+            f"SELECT event_id AS id, {e_ent} AS entity, strftime(ts, '%Y-%m-%d') AS event_date, "
+            f"{pick(T.HISTORY_TYPES, 'event_id')} AS event_type, 'event ' || CAST(event_id AS VARCHAR) AS description, "
+            f"'news' || CAST(event_id % 5 AS VARCHAR) || '.example.com' AS source, CAST(5 + event_id % 4 AS INTEGER) AS impact_score "
+            f"FROM events WHERE event_type = 'error'", []),
         "b_comparison": (
             f"SELECT event_id AS id, {e_ent} AS entity, {pick(K.COMPARISON_DIMENSIONS, 'event_id')} AS dimension, "
             f"{pick(K.COMPARISON_RATINGS, 'CAST(floor(value) AS BIGINT)')} AS rating, "

@@ -277,3 +277,38 @@ def comparison(raw: Raw) -> DataFrame:
         _pick(K.COMPARISON_RATINGS, F.floor("value").cast("long")).alias("rating"),
         F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("note"),
     )
+
+
+THREAT_LEVEL_BINDING = ["High", "Medium", "Low"]
+HISTORY_TYPES = ["pricing_change", "product_launch", "policy_change", "funding"]
+
+
+def products(raw: Raw) -> DataFrame:
+    """product_intelligence: the update-page layer of changes mapped to a home product."""
+    ch = changes(raw).filter(F.col("page_type") == "product_updates")
+    rid = F.col("id")
+    return ch.select(
+        "id", "entity", "detected_at", "url",
+        F.col("description").alias("raw_change"),
+        F.concat(F.lit("move "), rid.cast("string")).alias("move"),
+        _pick(K.HOME_PRODUCTS, rid).alias("home_product"),
+        F.when(rid % 13 == 0, F.lit(None).cast("string")).otherwise(_pick(THREAT_LEVEL_BINDING, rid)).alias("threat_level"),
+        F.when(rid % 29 == 0, F.lit("")).when(rid % 31 == 0, F.lit(" : ")).otherwise(
+            F.concat(F.lit("Review "), F.col("change_type"))).alias("recommended_action"),
+        F.col("detected_at").alias("analyzed_at"),
+    )
+
+
+def history(raw: Raw) -> DataFrame:
+    """historical_events: error events as dated market events."""
+    ev = raw.table("events").filter(F.col("event_type") == "error")
+    rid = F.col("event_id")
+    return ev.select(
+        rid.alias("id"),
+        _event_entity().alias("entity"),
+        F.date_format("ts", "yyyy-MM-dd").alias("event_date"),
+        _pick(HISTORY_TYPES, rid).alias("event_type"),
+        F.concat(F.lit("event "), rid.cast("string")).alias("description"),
+        F.concat(F.lit("news"), (rid % 5).cast("string"), F.lit(".example.com")).alias("source"),
+        (F.lit(5) + rid % 4).cast("int").alias("impact_score"),
+    )
