@@ -24,9 +24,10 @@ _DEFAULTS = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "tidewatch") -> SparkSession:
+                  app_name: str = "tidewatch", driver_memory: str = "16g") -> SparkSession:
     """Session for local runs (tests, bench). Clusters pass their own builder config."""
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", driver_memory))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

@@ -117,7 +117,8 @@ def changes(raw: Raw, with_text: bool = True) -> DataFrame:
     if not with_text:
         return out
     pages = page_titles(raw)
-    n_pages = pages.agg(F.count(F.lit(1))).scalar()
+    # page count from Parquet metadata (no data scan); the binding cycles events over all pages
+    n_pages = max(raw.table("pages").count(), 1)
     titled = out.join(
         pages.select(F.col("page_id"), F.col("title").alias("description"), F.col("url")),
         (out["id"] % n_pages) == F.col("page_id"), "left",
