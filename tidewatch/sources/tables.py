@@ -313,3 +313,18 @@ def history(raw: Raw) -> DataFrame:
         F.concat(F.lit("news"), (rid % 5).cast("string"), F.lit(".example.com")).alias("source"),
         (F.lit(5) + rid % 4).cast("int").alias("impact_score"),
     )
+
+
+LAYERS = ["page", "update", "offer"]
+LAYER_PREFIX = {"page": "", "update": "product_updates::", "offer": "offers::"}
+
+
+def watched_pages(raw: Raw) -> DataFrame:
+    """Watch roster joined with the fetched HTML: entity by URL language, a layer per page, and the
+    layered snapshot key (A2)."""
+    p = raw.table("pages")
+    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
+    layer = _pick(LAYERS, F.col("page_id"))
+    key = F.concat(_map(LAYER_PREFIX, layer, ""), F.lit("p"), F.col("page_id").cast("string"))
+    return p.select("page_id", _map(LANG_ENTITY, lang, "E4").alias("entity"), layer.alias("layer"),
+                    key.alias("page_key"), "url", "html")
