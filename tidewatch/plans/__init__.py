@@ -1,6 +1,6 @@
 """Driver-facing query plans. Importing this package registers every query."""
 
-from . import q_pages, q_reads, q_scoring, q_similarity  # noqa: F401
+from . import q_ingest, q_pages, q_reads, q_scoring, q_similarity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

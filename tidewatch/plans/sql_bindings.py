@@ -177,7 +177,7 @@ def binding_ctes() -> dict[str, tuple[str, list[str]]]:
             f"SELECT * FROM (SELECT {_entity('conv_id')} AS entity, {case_map(T.APP_IDS, _entity('conv_id'))} AS app_id, "
             f"CASE WHEN turn % 3 = 2 THEN NULL ELSE CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS review_id, "
             f"text AS content, CASE WHEN conv_id % 6 = 0 THEN NULL ELSE CAST(conv_id % 6 AS INTEGER) END AS score, "
-            f"{AS_OF} - to_days(CAST(conv_id % 40 AS INTEGER)) - to_hours(CAST(turn AS BIGINT)) AS at "
+            f"{AS_OF} - to_days(CAST(conv_id % 40 AS INTEGER)) - to_hours(CAST(turn AS BIGINT)) AS reviewed_at "
             f"FROM conversations WHERE role = 'user') WHERE app_id IS NOT NULL", []),
         "b_sentiment": (
             f"SELECT conv_id AS id, {_entity('conv_id')} AS entity, {AS_OF} - to_days(CAST(conv_id % 40 AS INTEGER)) AS scanned_at, "
@@ -221,5 +221,7 @@ def with_ctes(sql: str, needs: list[str], extra: dict[str, tuple[str, list[str]]
 
     for n in needs:
         visit(n)
+    if not order:
+        return sql
     body = ",\n".join(f"{n} AS ({defs[n][0]})" for n in order)
     return f"WITH {body}\n{sql}"

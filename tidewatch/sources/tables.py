@@ -241,7 +241,7 @@ def reviews(raw: Raw) -> DataFrame:
             F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))).alias("review_id"),
         F.col("text").alias("content"),
         F.when(F.col("conv_id") % 6 == 0, F.lit(None).cast("int")).otherwise((F.col("conv_id") % 6).cast("int")).alias("score"),
-        (as_of() - F.make_interval(days=(F.col("conv_id") % 40).cast("int"), hours=F.col("turn").cast("int"))).alias("at"),
+        (as_of() - F.make_interval(days=(F.col("conv_id") % 40).cast("int"), hours=F.col("turn").cast("int"))).alias("reviewed_at"),
     ).filter(F.col("app_id").isNotNull())
 
 
