@@ -44,8 +44,9 @@ def round1(col) -> Column:
 
 
 def clamp(col, lo, hi) -> Column:
-    """max(lo, min(hi, x)); NULL stays NULL."""
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(col)))
+    """max(lo, min(hi, x)); NULL stays NULL (Spark's greatest/least would skip it)."""
+    x = _c(col)
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def clamp_int(col, lo: int = 1, hi: int = 10) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..sources import tables as T
 from . import reads as R
 from .scoring import latest_by_id
 
@@ -101,7 +102,7 @@ def comparison_matrix(spark: SparkSession, cells: DataFrame, entities: list[str]
         *[F.when(F.col("rating") == r, F.lit(i)) for r, i in RATING_ICONS.items()], F.lit("?"))
     piv = cells.select("dimension", "entity", icon.alias("icon")).groupBy("dimension").pivot(
         "entity", entities).agg(F.first("icon"))
-    dims = spark.createDataFrame([(i, d) for i, d in enumerate(K.COMPARISON_DIMENSIONS)], "dim_pos int, dimension string")
+    dims = T.literal_table(spark, [(i, d) for i, d in enumerate(K.COMPARISON_DIMENSIONS)], "dim_pos int, dimension string")
     out = dims.join(piv, "dimension", "left")
     return out.select("dim_pos", "dimension", *[F.coalesce(F.col(e), F.lit(ABSENT_ICON)).alias(e) for e in entities])
 

@@ -191,7 +191,7 @@ _OVERRIDES = [("E6", "E6 Canada"), ("E7", "E7 POS Canada payments")]
     ["b_changes_core"]))
 def a8_feed_query(spark, sf_dir):
     ents = T.changes(_raw(spark, sf_dir), with_text=False).select("entity").distinct()
-    ov = spark.createDataFrame(_OVERRIDES, "entity string, query string")
+    ov = T.literal_table(spark, _OVERRIDES, "entity string, query string")
     return A.feed_query(ents, ov)
 
 

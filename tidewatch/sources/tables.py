@@ -82,10 +82,26 @@ class Raw:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as an inline VALUES relation (a local scan, no Python job)."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    types = [f.strip().split(" ", 1)[1] for f in schema.split(",")]
+
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({v} AS {t})"
+
+    values = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def roster(spark: SparkSession) -> DataFrame:
     """Entity roster: position, static weight (NULL -> default), app id (NULL -> no app)."""
     rows = [(i, e, STATIC_WEIGHTS.get(e), APP_IDS.get(e)) for i, e in enumerate(ENTITIES)]
-    return spark.createDataFrame(rows, "pos int, entity string, static_weight int, app_id string")
+    return literal_table(spark, rows, "pos int, entity string, static_weight int, app_id string")
 
 
 def page_titles(raw: Raw) -> DataFrame:
