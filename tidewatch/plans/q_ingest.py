@@ -445,3 +445,11 @@ def d6_default_sentiment(spark, sf_dir):
         "entity", "sentiment", "severity_score", "themes", "opportunity")
     out = D.default_sentiment(T.roster(spark).select("entity"), counts, ans)
     return out.select("entity", "review_count", "sentiment", "severity_score", "opportunity")
+
+
+@query("d3_clamp_severity", B.with_ctes(
+    f"SELECT id, {B.round1(B.clamp('severity_score * 1.37 - 2.0', 1.0, 10.0))} AS severity FROM b_sentiment", ["b_sentiment"]))
+def d3_clamp_severity(spark, sf_dir):
+    """Severity answers stretched outside 1..10 (x * 1.37 - 2), clamped and rounded as the contract does."""
+    s = T.sentiment(_raw(spark, sf_dir))
+    return s.select("id", D.clamp_severity(F.col("severity_score") * 1.37 - 2.0).alias("severity"))

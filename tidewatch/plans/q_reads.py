@@ -415,3 +415,35 @@ _MID_CUTOFF = "2024-01-15T00:00:00+00:00"
 def h2_kept_after_cutoff(spark, sf_dir):
     kept, _ = H.delete_before(T.scores(_raw(spark, sf_dir)).select("id", "entity", "scanned_at"), _MID_CUTOFF)
     return _iso(kept, "scanned_at")
+
+
+# ---------------------------------------------------------------------------------------------- F1 / G7 series / K1
+_SNAP_SQL = {"snap": (
+    f"SELECT coalesce({B.case_map(T.LANG_ENTITY, 'lang')}, 'E4') AS entity, "
+    f"(CASE {B.pick(T.LAYERS, 't.page_id')} WHEN 'update' THEN 'product_updates::' WHEN 'offer' THEN 'offers::' ELSE '' END) "
+    "|| 'p' || CAST(t.page_id AS VARCHAR) AS page_key, t.url, t.title AS page_title, sha256(p.html) AS content_hash "
+    "FROM b_titles t JOIN pages p ON p.page_id = t.page_id", ["b_titles"])}
+
+
+@query("f1_snapshot", B.with_ctes("SELECT * FROM snap WHERE entity = 'E0' AND page_key = 'product_updates::p1'",
+                                  ["snap"], _SNAP_SQL))
+def f1_snapshot(spark, sf_dir):
+    """Point lookup of one stored snapshot by (entity, page_key)."""
+    raw = _raw(spark, sf_dir)
+    w = T.watched_pages(raw).join(T.page_titles(raw).select("page_id", "title"), "page_id")
+    snaps = w.select("entity", "page_key", "url", F.col("title").alias("page_title"),
+                     S.content_hash(F.col("html")).alias("content_hash"))
+    return R.snapshot(snaps, "E0", "product_updates::p1")
+
+
+@query("g7_trend_series", B.with_ctes(
+    f"SELECT entity, id, {ISO('scanned_at')} AS scanned_at, threat_score FROM b_scores", ["b_scores"]))
+def g7_trend_series(spark, sf_dir):
+    df = R.score_history(T.scores(_raw(spark, sf_dir)))
+    return _iso(df.select("entity", "id", "scanned_at", "threat_score"), "scanned_at")
+
+
+@query("k1_round1", f"SELECT event_id, {B.round1('value / 7.0')} AS r FROM events")
+def k1_round1(spark, sf_dir):
+    ev = _raw(spark, sf_dir).table("events")
+    return ev.select("event_id", S.round1(F.col("value") / 7.0).alias("r"))

@@ -133,3 +133,15 @@ def c12_c13_source_rank(spark, sf_dir):
     n = _news(spark, sf_dir)
     return n.select("id", "source", S.source_weight(F.col("source")).alias("weight"),
                     S.source_rank(F.col("source")).alias("credibility_rank"))
+
+
+@query("c4_seq_ratio")
+def c4_seq_ratio(spark, sf_dir):
+    """Ratcliff-Obershelp ratio in both argument orders for every same-story pair of headlines."""
+    n = _news(spark, sf_dir)
+    pairs = C.headline_matches(n, F.col("id"))
+    a = n.select(F.col("id").alias("a"), S.normalize_headline(F.col("headline")).alias("ta"))
+    b = n.select(F.col("id").alias("b"), S.normalize_headline(F.col("headline")).alias("tb"))
+    j = pairs.join(a, "a").join(b, "b")
+    return j.select("a", "b", C.seq_ratio(F.col("ta"), F.col("tb")).alias("ratio_ab"),
+                    C.seq_ratio(F.col("tb"), F.col("ta")).alias("ratio_ba"))
