@@ -129,7 +129,7 @@ RATING_MARKS = {"green": "(+)", "yellow": "(~)", "red": "(-)"}
 
 
 def weekly_brief(roster: DataFrame, scores: DataFrame, changes: DataFrame, sentiment: DataFrame, news: DataFrame,
-                 cells: DataFrame, dims: DataFrame) -> DataFrame:
+                 cells: DataFrame, dims: DataFrame, describe=None) -> DataFrame:
     """The brief as one tidy DataFrame (section, rank, entity, metric, text), text folded to
     Latin-1 and cut at the brief's widths."""
     fold = S.fold_ascii
@@ -147,6 +147,9 @@ def weekly_brief(roster: DataFrame, scores: DataFrame, changes: DataFrame, senti
     newest = R.changes(changes, K.CHANGES_VIEW_LIMIT).filter(F.col("customer_impact_score") >= K.IMPACT_GATE_MIN)
     w = Window.orderBy(F.col("customer_impact_score").desc(), F.col("detected_at").desc(), F.col("id").desc())
     top_ch = newest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
+    if describe is not None:
+        # descriptions are attached to the five selected rows only
+        top_ch = describe(top_ch)
     parts.append(top_ch.select(F.lit("changes").alias("section"), F.col("rank").cast("long").alias("rank"), "entity",
                                F.col("customer_impact_score").cast("string").alias("metric"),
                                fold(F.substring(F.coalesce("description", F.lit("")), 1, K.BRIEF_CHANGE_CHARS)).alias("text")))

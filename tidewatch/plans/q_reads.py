@@ -33,15 +33,18 @@ _CH_SQL = f"id, entity, {ISO('detected_at')} AS detected_at, change_type, custom
 @query("f2_changes", B.with_ctes(
     f"SELECT {_CH_SQL} FROM b_changes ORDER BY detected_at DESC, id DESC LIMIT 100", ["b_changes"]))
 def f2_changes(spark, sf_dir):
-    return _iso(R.changes(T.changes(_raw(spark, sf_dir)), 100).select(*_CH_COLS), "detected_at")
+    raw = _raw(spark, sf_dir)
+    top = R.changes(T.changes(raw, with_text=False), 100)
+    return _iso(T.describe(raw, top).select(*_CH_COLS), "detected_at")
 
 
 @query("f2_changes_filtered", B.with_ctes(
     f"SELECT {_CH_SQL} FROM b_changes WHERE entity = 'E3' AND change_type = 'pricing' "
     "ORDER BY detected_at DESC, id DESC LIMIT 100", ["b_changes"]))
 def f2_changes_filtered(spark, sf_dir):
-    df = R.changes(T.changes(_raw(spark, sf_dir)), 100, entity="E3", change_type="pricing")
-    return _iso(df.select(*_CH_COLS), "detected_at")
+    raw = _raw(spark, sf_dir)
+    df = R.changes(T.changes(raw, with_text=False), 100, entity="E3", change_type="pricing")
+    return _iso(T.describe(raw, df).select(*_CH_COLS), "detected_at")
 
 
 # ---------------------------------------------------------------------------------------------- F3
@@ -208,8 +211,9 @@ def g2_bands(spark, sf_dir):
     f"WHERE customer_impact_score >= 2 AND detected_at >= {B.AS_OF} - INTERVAL 90 DAY AND segment_affected = 'SMB'",
     ["b_changes"]))
 def g3_changes_view_nodedup(spark, sf_dir):
-    df = G.changes_view(T.changes(_raw(spark, sf_dir)), T.as_of(), segment="SMB")
-    return _iso(df.select(*_CH_COLS), "detected_at")
+    raw = _raw(spark, sf_dir)
+    df = G.changes_view(T.changes(raw, with_text=False), T.as_of(), segment="SMB")
+    return _iso(T.describe(raw, df).select(*_CH_COLS), "detected_at")
 
 
 def _news_window_sql(where_extra: str = "") -> str:

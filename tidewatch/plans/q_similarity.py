@@ -105,8 +105,10 @@ def c11_dedupe_changes(spark, sf_dir):
 
 @query("g3_changes_view")
 def g3_changes_view(spark, sf_dir):
-    ch = T.changes(T.Raw(spark, sf_dir))
-    out = G.changes_view(ch, T.as_of(), segment="SMB", dedupe=C.dedupe_changes)
+    raw = T.Raw(spark, sf_dir)
+    # the fold compares descriptions, so they are attached after the newest-500 read, before C11
+    out = G.changes_view(T.changes(raw, with_text=False), T.as_of(), segment="SMB",
+                         dedupe=lambda top: C.dedupe_changes(T.describe(raw, top)))
     return out.select("id", "entity", "slot_key", "customer_impact_score", "segment_affected")
 
 

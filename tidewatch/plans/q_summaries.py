@@ -109,4 +109,5 @@ def g14_weekly_brief(spark, sf_dir):
     raw = T.Raw(spark, sf_dir)
     cells = G.comparison_cells(T.comparison(raw))
     dims = T.literal_table(spark, [(i, d) for i, d in enumerate(K.COMPARISON_DIMENSIONS)], "dim_pos int, dimension string")
-    return M.weekly_brief(T.roster(spark), T.scores(raw), T.changes(raw), T.sentiment(raw), T.news(raw), cells, dims)
+    return M.weekly_brief(T.roster(spark), T.scores(raw), T.changes(raw, with_text=False), T.sentiment(raw), T.news(raw),
+                          cells, dims, describe=lambda df: T.describe(raw, df))

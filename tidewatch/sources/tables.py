@@ -132,14 +132,19 @@ def changes(raw: Raw, with_text: bool = True) -> DataFrame:
     )
     if not with_text:
         return out
+    return describe(raw, out)
+
+
+def describe(raw: Raw, changes_df: DataFrame) -> DataFrame:
+    """Attach description and url to change rows (id -> page id % page count). Reads apply their
+    top-N first and describe only the surviving rows."""
     pages = page_titles(raw)
     # page count from Parquet metadata (no data scan); the binding cycles events over all pages
     n_pages = max(raw.table("pages").count(), 1)
-    titled = out.join(
+    return changes_df.join(
         pages.select(F.col("page_id"), F.col("title").alias("description"), F.col("url")),
-        (out["id"] % n_pages) == F.col("page_id"), "left",
+        (changes_df["id"] % n_pages) == F.col("page_id"), "left",
     ).drop("page_id")
-    return titled
 
 
 def offers(raw: Raw) -> DataFrame:
