@@ -147,3 +147,14 @@ def flatten_comparison(card: DataFrame) -> DataFrame:
     return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select(
         "card_id", "entity", F.col("d.dimension").alias("dimension"), F.col("d.rating").alias("rating"),
         F.col("d.note").alias("note"))
+
+
+def build_social_request(batches: DataFrame, mentions: DataFrame, videos: DataFrame, batch: str = "batch") -> DataFrame:
+    """Per batch the mention headlines and the video titles as '- ' bullet lists, each
+    '(no results)' when empty. mentions/videos carry (batch, pos, text)."""
+    def bullets(df, name):
+        agg = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.col("text")).alias("l")))).alias("ls"))
+        return agg.select(batch, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias(name))
+    j = batches.select(batch).join(bullets(mentions, "mention_lines"), batch, "left").join(bullets(videos, "video_lines"), batch, "left")
+    return j.select(batch, F.coalesce("mention_lines", F.lit("(no results)")).alias("mention_lines"),
+                    F.coalesce("video_lines", F.lit("(no results)")).alias("video_lines"))

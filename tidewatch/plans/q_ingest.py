@@ -453,3 +453,28 @@ def d3_clamp_severity(spark, sf_dir):
     """Severity answers stretched outside 1..10 (x * 1.37 - 2), clamped and rounded as the contract does."""
     s = T.sentiment(_raw(spark, sf_dir))
     return s.select("id", D.clamp_severity(F.col("severity_score") * 1.37 - 2.0).alias("severity"))
+
+
+@query("d1_social_request", B.with_ctes(
+    "SELECT f.entity, f.feed_no, coalesce(m.l, '(no results)') AS mention_lines, coalesce(v.l, '(no results)') AS video_lines "
+    "FROM (SELECT DISTINCT entity, feed_no FROM items) f "
+    "LEFT JOIN (SELECT entity, feed_no, string_agg('- ' || headline, chr(10) ORDER BY pos) AS l FROM mentions GROUP BY 1, 2) m "
+    "ON m.entity = f.entity AND m.feed_no = f.feed_no "
+    "LEFT JOIN (SELECT entity, feed_no, string_agg('- ' || title, chr(10) ORDER BY pos) AS l FROM videos GROUP BY 1, 2) v "
+    "ON v.entity = f.entity AND v.feed_no = f.feed_no",
+    ["items", "mentions", "videos"],
+    {**_ITEMS_SQL,
+     "mentions": (f"SELECT entity, feed_no, pos, {_trim_sql('title')} AS headline FROM items WHERE pos < {K.MENTIONS_PER_FEED} "
+                  f"AND {_trim_sql('title')} <> '' AND {_trim_sql('link')} <> '' AND entity <> 'E2'", ["items"]),
+     "videos": (f"SELECT entity, feed_no, pos, {_trim_sql('title')} AS title FROM items WHERE pos < {K.VIDEOS_PER_FEED} "
+                f"AND {_trim_sql('title')} <> '' AND entity <> 'E3'", ["items"])}))
+def d1_social_request(spark, sf_dir):
+    """Social request text per feed batch; the mention feeds of E2 and the video feeds of E3 are
+    missing in this scan, so those parts read '(no results)'."""
+    feeds = news_feeds(spark, sf_dir)
+    m = A.parse_mention_feed(feeds.filter(F.col("entity") != "E2"))
+    v = A.parse_video_feed(video_feeds(spark, sf_dir).filter(F.col("entity") != "E3"))
+    batch = F.struct("entity", "feed_no")
+    out = D.build_social_request(feeds.select(batch.alias("batch")), m.select(batch.alias("batch"), "pos", F.col("headline").alias("text")),
+                                 v.select(batch.alias("batch"), "pos", F.col("title").alias("text")))
+    return out.select("batch.entity", "batch.feed_no", "mention_lines", "video_lines")
