@@ -65,7 +65,7 @@ def parse_news_feed(feeds: DataFrame, xml_col: str = "xml", limit: int = K.NEWS_
     keys = [c for c in feeds.columns if c != xml_col]
     parsed = feeds.select(*keys, F.from_xml(F.col(xml_col), NEWS_FEED_SCHEMA, {"mode": "PERMISSIVE"}).alias("p"))
     items = parsed.select(*keys, F.posexplode(F.col("p.channel.item")).alias("pos", "it"))
-    items = items.select(*keys, "pos", _trim(F.col("it.title")).alias("headline"), _trim(F.col("it.link")).alias("url"),
+    items = items.select(*keys, F.col("pos").cast("long").alias("pos"), _trim(F.col("it.title")).alias("headline"), _trim(F.col("it.link")).alias("url"),
                          _trim(F.col("it.pubDate")).alias("published_at"), _trim(F.col("it.source._VALUE")).alias("src"))
     items = items.filter((F.col("headline") != "") & (F.col("url") != ""))
     first = Window.partitionBy(*keys, "url").orderBy("pos")
@@ -74,7 +74,7 @@ def parse_news_feed(feeds: DataFrame, xml_col: str = "xml", limit: int = K.NEWS_
     fallback = F.when(F.col("headline").rlike("-\\s*([^-]+)$"), _trim(suffix)).otherwise(F.lit("Unknown"))
     items = items.withColumn("source", F.when(F.col("src") != "", F.col("src")).otherwise(fallback)).drop("src")
     w = Window.partitionBy(*keys).orderBy("pos")
-    items = items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    items = items.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
     return items.withColumn("source_weight", S.source_weight(F.col("source")))
 
 
@@ -83,7 +83,7 @@ def parse_mention_feed(feeds: DataFrame, xml_col: str = "xml", limit: int = K.ME
     keys = [c for c in feeds.columns if c != xml_col]
     parsed = feeds.select(*keys, F.from_xml(F.col(xml_col), NEWS_FEED_SCHEMA, {"mode": "PERMISSIVE"}).alias("p"))
     items = parsed.select(*keys, F.posexplode(F.slice(F.coalesce(F.col("p.channel.item"), F.array()), 1, limit)).alias("pos", "it"))
-    items = items.select(*keys, "pos", _trim(F.col("it.title")).alias("headline"), _trim(F.col("it.link")).alias("url"),
+    items = items.select(*keys, F.col("pos").cast("long").alias("pos"), _trim(F.col("it.title")).alias("headline"), _trim(F.col("it.link")).alias("url"),
                          _trim(F.col("it.pubDate")).alias("published_at"))
     return items.filter((F.col("headline") != "") & (F.col("url") != ""))
 
@@ -105,7 +105,7 @@ def parse_video_feed(feeds: DataFrame, xml_col: str = "xml", limit: int = K.VIDE
                                             {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("p"))
     items = parsed.select(*keys, F.posexplode(F.slice(F.coalesce(F.col("p.entry"), F.array()), 1, limit)).alias("pos", "e"))
     out = items.select(
-        *keys, "pos", _trim(F.col("e.videoId")).alias("video_id"), _trim(F.col("e.title")).alias("title"),
+        *keys, F.col("pos").cast("long").alias("pos"), _trim(F.col("e.videoId")).alias("video_id"), _trim(F.col("e.title")).alias("title"),
         F.coalesce(F.col("e.link._href"), F.lit("")).alias("url"), _trim(F.col("e.published")).alias("published_at"),
         F.coalesce(F.col("e.group.thumbnail._url"), F.lit("")).alias("thumbnail_url"),
         F.when(F.coalesce(F.col("e.group.description"), F.lit("")) == "", F.lit("")).otherwise(
@@ -141,7 +141,7 @@ def normalize_reviews(raw: DataFrame, per_app: int = 20, body_max: int = 600, ti
         F.substring(F.col("body"), 1, body_max).alias("body"),
         F.coalesce(F.col("score"), F.lit(0)).cast("int").alias("rating"),
         F.coalesce(F.date_format(F.col(time_col), "yyyy-MM-dd"), F.lit("")).alias("date"),
-        F.col("_r").alias("feed_pos"),
+        F.col("_r").cast("long").alias("feed_pos"),
     )
 
 

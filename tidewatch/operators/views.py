@@ -79,8 +79,8 @@ def reviews_view(roster: DataFrame, sentiment: DataFrame) -> DataFrame:
         "pos", "entity", "app_id", "sentiment", "severity_score",
         F.when(F.col("id").isNull(), F.lit(None).cast("string")).otherwise(S.severity_band("severity_score")).alias("severity_band"),
         F.array_join(F.coalesce("themes", F.array()), ", ").alias("themes"),
-        F.size(F.coalesce("top_complaints", F.array())).alias("n_complaints"),
-        F.size(F.coalesce("top_praise", F.array())).alias("n_praise"),
+        F.size(F.coalesce("top_complaints", F.array())).cast("long").alias("n_complaints"),
+        F.size(F.coalesce("top_praise", F.array())).cast("long").alias("n_praise"),
         msg.alias("message"),
     )
 

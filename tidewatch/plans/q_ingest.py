@@ -242,7 +242,7 @@ def a10_upsert_snapshots(spark, sf_dir):
     upd = s.filter(F.col("page_id") % 3 == 0).select("entity", "page_key", full.alias("content_text"),
                                                       S.content_hash(full).alias("content_hash"), F.lit("v2").alias("updated_at"))
     out = A.upsert(cur, upd, ["entity", "page_key"])
-    return out.select("entity", "page_key", "content_hash", F.length("content_text").alias("text_len"), "updated_at")
+    return out.select("entity", "page_key", "content_hash", F.length("content_text").cast("long").alias("text_len"), "updated_at")
 
 
 @query("a11_insert_ignore", B.with_ctes(
@@ -398,7 +398,7 @@ def _align_inputs(spark, sf_dir):
 @query("d4_align_answers", B.with_ctes(
     f"SELECT i.entity || '-' || CAST(i.feed_no AS VARCHAR) AS batch_id, i.rank AS pos, i.headline, "
     f"CASE WHEN i.rank % 7 = 0 THEN 'other' ELSE {B.pick(K.NEWS_IMPACT_TYPES, 'i.rank')} END AS impact_type, "
-    "CASE WHEN i.rank % 7 = 0 THEN 1 ELSE greatest(1, least(10, i.rank - 3)) END AS relevance, "
+    "CAST(CASE WHEN i.rank % 7 = 0 THEN 1 ELSE greatest(1, least(10, i.rank - 3)) END AS INTEGER) AS relevance, "
     "CASE WHEN i.rank % 7 = 0 THEN 'low' ELSE 'medium' END AS market_impact, "
     "CASE WHEN i.rank % 7 = 0 THEN '' ELSE 'summary ' || CAST(i.rank AS VARCHAR) END AS summary FROM parsed i",
     ["parsed"], {"parsed": (_NEWS_ITEMS_SELECT, ["items"]), **_ITEMS_SQL}))
