@@ -99,10 +99,22 @@ def parse_page(html: str):
     return rows, (b.title or "")
 
 
+PAGES_PER_FRAME = 64
+
+
+def _empty():
+    return {"page_id": [], "ord": [], "tag": [], "classes": [], "articles": [], "text": []}
+
+
 def _blocks_batches(batches):
+    """Element rows of each Arrow batch of pages (input batches are capped in bytes by Spark); a
+    frame is emitted every PAGES_PER_FRAME pages, so nested element texts never pile up."""
     for pdf in batches:
-        out = {"page_id": [], "ord": [], "tag": [], "classes": [], "articles": [], "text": []}
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
+        out = _empty()
+        for n, (pid, html) in enumerate(zip(pdf["page_id"], pdf["html"]), start=1):
+            if n % PAGES_PER_FRAME == 0 and out["page_id"]:
+                yield pd.DataFrame(out)
+                out = _empty()
             rows, title = parse_page(html)
             # the title string rides as a synthetic element with ord -1
             out["page_id"].append(pid)
@@ -118,7 +130,8 @@ def _blocks_batches(batches):
                 out["classes"].append(classes)
                 out["articles"].append(articles)
                 out["text"].append(text)
-        yield pd.DataFrame(out)
+        if out["page_id"]:
+            yield pd.DataFrame(out)
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
