@@ -130,3 +130,19 @@ def e11_reason_or_default(spark, sf_dir):
     # The binding plants the fallback sentence on some rows; those count as "no explanation".
     missing = F.col("reason").contains(K.UNAVAILABLE_MARKER)
     return sc.select("id", "entity", E.reason_or_default(F.when(missing, F.lit(None)).otherwise(F.col("reason"))).alias("reason"))
+
+
+_SCAN_DAY = "2024-01-30 00:00:00"
+
+
+@query("e4_social_component_scan", B.with_ctes(
+    f"SELECT coalesce(n.entity, s.entity) AS entity, coalesce(n.v, s.v) AS social_value FROM "
+    f"(SELECT entity, {B.social_score('arg_max(tone_shift, id)', 'arg_max(campaign_focus, id)')} AS v FROM b_social "
+    f"WHERE scanned_at >= TIMESTAMP '{_SCAN_DAY}' GROUP BY entity) n FULL OUTER JOIN "
+    f"(SELECT entity, {B.social_score('arg_max(tone_shift, id)', 'arg_max(campaign_focus, id)')} AS v FROM b_social "
+    f"WHERE scanned_at < TIMESTAMP '{_SCAN_DAY}' GROUP BY entity) s ON n.entity = s.entity", ["b_social"]))
+def e4_social_component_scan(spark, sf_dir):
+    """This scan (the last day) first, else the latest stored row before it."""
+    so = T.social(T.Raw(spark, sf_dir))
+    day = F.lit(_SCAN_DAY).cast("timestamp")
+    return E.social_component(so.filter(F.col("scanned_at") >= day), so.filter(F.col("scanned_at") < day))
