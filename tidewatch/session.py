@@ -41,10 +41,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the package defaults to an existing session without overriding explicit settings."""
+    """Apply the package defaults to an existing session without overriding explicit settings.
+
+    The one exception is the session time zone: every stored timestamp and every date boundary of
+    the domain is defined in UTC (the raw event times are zone-less), so results must not depend
+    on the zone a caller's session happens to carry.
+    """
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
     return spark
 
