@@ -80,7 +80,34 @@ def e8_signals_summary(spark, sf_dir):
         "entity", "scan", "section", "pos", "line")
 
 
-@query("e9_comparison_context")
+def _context_sql() -> str:
+    themes = "CASE WHEN len(coalesce(x.themes, [])) > 0 THEN array_to_string(x.themes, ', ') ELSE 'none' END"
+    sent = ("SELECT b.*, x.sentiment, x.severity_score, x.themes, x.opportunity FROM base b LEFT JOIN (SELECT entity, scan, "
+            "arg_max(sentiment, id) AS sentiment, arg_max(severity_score, id) AS severity_score, arg_max(themes, id) AS themes, "
+            "arg_max(opportunity, id) AS opportunity FROM sn GROUP BY entity, scan) x ON x.entity = b.entity AND x.scan = b.scan")
+    parts = [
+        "SELECT scan, entity_pos, entity, 0 AS section, 0 AS pos, '## ' || entity AS line FROM base",
+        "SELECT b.scan, b.entity_pos, b.entity, 1, c.id, '- Website (' || c.change_type || '): ' || c.description "
+        "FROM ch c JOIN base b ON b.entity = c.entity AND b.scan = c.scan",
+        "SELECT scan, entity_pos, entity, 2, 0, '- App review sentiment: ' || coalesce(sentiment, 'neutral') || ' (severity ' || "
+        f"CAST(coalesce(severity_score, {K.REVIEW_BASELINE}) AS VARCHAR) || '/10), themes: ' || "
+        f"{themes.replace('x.', '')} FROM sent",
+        "SELECT scan, entity_pos, entity, 2, 1, '  Opportunity: ' || opportunity FROM sent WHERE coalesce(opportunity, '') <> ''",
+        "SELECT b.scan, b.entity_pos, b.entity, 3, n.r, '- News: ' || n.headline || ' (' || n.impact_type || ', relevance ' || "
+        "CAST(n.relevance AS VARCHAR) || '/10)' FROM (SELECT *, row_number() OVER (PARTITION BY entity, scan ORDER BY relevance DESC, "
+        "id ASC) AS r FROM nw) n JOIN base b ON b.entity = n.entity AND b.scan = n.scan WHERE n.r <= 2",
+        "SELECT b.scan, b.entity_pos, b.entity, 4, 0, '- Current threat score: ' || CAST(s.threat_score AS VARCHAR) || '/10' "
+        "FROM base b LEFT JOIN (SELECT entity, CAST(scanned_at AS DATE) AS scan, threat_score FROM b_scores) s "
+        "ON s.entity = b.entity AND s.scan = b.scan",
+    ]
+    extra = dict(_SCAN_CTES)
+    extra["base"] = ("SELECT s.entity, s.scan, r.pos AS entity_pos FROM scans s JOIN b_roster r ON r.entity = s.entity",
+                     ["scans", "b_roster"])
+    extra["sent"] = (sent, ["base", "sn"])
+    return B.with_ctes(" UNION ALL ".join(parts), ["base", "ch", "nw", "sent", "b_scores"], extra)
+
+
+@query("e9_comparison_context", _context_sql())
 def e9_comparison_context(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return M.comparison_context(i["scans"], T.roster(spark), i["changes"], i["sentiment"], i["news"], i["scores"])
