@@ -131,7 +131,44 @@ def e10_scan_summary(spark, sf_dir):
     return M.scan_summary(i["scans"], i["changes"], i["news"], errs)
 
 
-@query("g14_weekly_brief")
+def _brief_sql() -> str:
+    from .q_reads import _fold_sql
+    d = "(l.latest - l.previous)"
+    trend = (f"CASE WHEN l.previous IS NULL THEN 'first scan' WHEN {d} > {K.TREND_EPSILON} THEN '+' || {B.fmt1(d)} "
+             f"WHEN {d} < -{K.TREND_EPSILON} THEN {B.fmt1(d)} ELSE 'stable' END")
+    marks = "CASE WHEN c.rating = 'green' THEN '(+)' WHEN c.rating = 'yellow' THEN '(~)' WHEN c.rating = 'red' THEN '(-)' ELSE '?' END"
+    dims = ", ".join(f"({i}, {B.q(x)})" for i, x in enumerate(K.COMPARISON_DIMENSIONS))
+    parts = [
+        "SELECT 'scores' AS section, CAST(r.pos AS BIGINT) AS rank, r.entity, " + B.fmt1("l.latest") + " AS metric, "
+        f"{trend} || ' | ' || {_fold_sql(f'substr(coalesce(l.reason, {chr(39)}{chr(39)}), 1, {K.BRIEF_REASON_CHARS})')} AS text "
+        "FROM b_roster r JOIN lp l ON l.entity = r.entity",
+        "SELECT 'changes', CAST(rk AS BIGINT), entity, CAST(customer_impact_score AS VARCHAR), "
+        f"{_fold_sql(f'substr(coalesce(description, {chr(39)}{chr(39)}), 1, {K.BRIEF_CHANGE_CHARS})')} FROM (SELECT *, row_number() OVER "
+        "(ORDER BY customer_impact_score DESC, detected_at DESC, id DESC) AS rk FROM (SELECT * FROM b_changes ORDER BY detected_at DESC, "
+        f"id DESC LIMIT {K.CHANGES_VIEW_LIMIT}) WHERE customer_impact_score >= {K.IMPACT_GATE_MIN}) WHERE rk <= 5",
+        "SELECT 'complaints', CAST(r.pos * 10 + x.i AS BIGINT), r.entity, CAST(NULL AS VARCHAR), "
+        f"{_fold_sql(f'substr(x.c, 1, {K.BRIEF_COMPLAINT_CHARS})')} FROM b_roster r JOIN (SELECT entity, unnest(cs) AS c, "
+        "generate_subscripts(cs, 1) - 1 AS i FROM (SELECT entity, arg_max(top_complaints, id)[1:2] AS cs FROM b_sentiment "
+        "GROUP BY entity)) x ON x.entity = r.entity",
+        "SELECT 'news', CAST(rk AS BIGINT), entity, CAST(relevance AS VARCHAR), "
+        f"{_fold_sql(f'substr(headline, 1, {K.BRIEF_NEWS_CHARS})')} FROM (SELECT *, row_number() OVER (ORDER BY relevance DESC, "
+        f"fetched_at DESC, id DESC) AS rk FROM (SELECT * FROM b_news ORDER BY relevance DESC, fetched_at DESC, id DESC "
+        f"LIMIT {K.NEWS_VIEW_LIMIT})) WHERE rk <= 5",
+        f"SELECT 'matrix', CAST(d.dim_pos * 100 + r.pos AS BIGINT), c.entity, {marks}, "
+        f"{_fold_sql(f'substr(concat_ws({chr(39)}: {chr(39)}, c.dimension, c.note), 1, {K.BRIEF_MATRIX_CHARS})')} "
+        f"FROM cells c JOIN (VALUES {dims}) d(dim_pos, dimension) ON d.dimension = c.dimension JOIN b_roster r ON r.entity = c.entity",
+    ]
+    extra = {
+        "lp": ("SELECT entity, max(CASE WHEN rn = 1 THEN threat_score END) AS latest, max(CASE WHEN rn = 2 THEN threat_score END) "
+               "AS previous, max(CASE WHEN rn = 1 THEN reason END) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY entity "
+               "ORDER BY id DESC) AS rn FROM b_scores) WHERE rn <= 2 GROUP BY entity", ["b_scores"]),
+        "cells": ("SELECT entity, dimension, arg_max(rating, id) AS rating, arg_max(note, id) AS note FROM b_comparison "
+                  "GROUP BY entity, dimension", ["b_comparison"]),
+    }
+    return B.with_ctes(" UNION ALL ".join(parts), ["b_roster", "lp", "b_changes", "b_sentiment", "b_news", "cells"], extra)
+
+
+@query("g14_weekly_brief", _brief_sql())
 def g14_weekly_brief(spark, sf_dir):
     raw = T.Raw(spark, sf_dir)
     cells = G.comparison_cells(T.comparison(raw))
