@@ -72,3 +72,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return sc.getCheckpointDir() or local
+
+
+def cut_lineage(df):
+    """Materialise `df` with a reliable checkpoint into the session's checkpoint folder.
+
+    Used where a plan fans out from an expensive node (the Python HTML parse) or loops (iterative
+    folds): the result survives executor loss and is computed once. Never `localCheckpoint`.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -22,7 +22,13 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
          "track", "wbr", "basefont", "bgsound", "frame", "keygen", "menuitem", "spacer"}
 _REMOVED = {"script", "style", "noscript"}
 # Elements read by B3-B7 (plus any element carrying a class, for the title/headline class rule).
-_USED = {"title", "h1", "h2", "h3", "h4", "div", "span", "p", "td", "li", "article"}
+_USED = {"h1", "h2", "h3", "h4", "div", "span", "p", "td", "li"}
+# Headings and paragraphs are used at any length; every other element only when its cleaned text
+# has at most 200 characters (pricing snippets, feature bullets, class-matched titles). More than
+# 200 non-whitespace characters can never clean down to 200, so such rows are not emitted at all -
+# wrapper elements would otherwise repeat the whole page text at every nesting level.
+_ANY_LENGTH = {"h1", "h2", "h3", "h4", "p"}
+_BOUNDED_MAX = 200
 
 
 class _Builder(HTMLParser):
@@ -83,7 +89,10 @@ class _Builder(HTMLParser):
         if e["removed"]:
             return
         if e["tag"] in _USED or e["classes"]:
-            self.out.append((e["ord"], e["tag"], e["classes"], e["articles"], "".join(e["parts"])))
+            text = "".join(e["parts"])
+            if e["tag"] not in _ANY_LENGTH and len(text) > _BOUNDED_MAX and len("".join(text.split())) > _BOUNDED_MAX:
+                return
+            self.out.append((e["ord"], e["tag"], e["classes"], e["articles"], text))
 
     def finish(self):
         self.close()
