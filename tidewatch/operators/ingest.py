@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from ..session import checkpoint_dir
+from ..session import cut_lineage
 
 # --------------------------------------------------------------------------------------------
 # A1: schema conformance
@@ -171,8 +171,8 @@ def feed_query(entities: DataFrame, overrides: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------
 
 def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint into the session's checkpoint folder (see session.cut_lineage)."""
+    return cut_lineage(df)
 
 
 def assign_ids(new: DataFrame, start: Column | int, order: list[Column]) -> DataFrame:
