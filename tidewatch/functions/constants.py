@@ -52,6 +52,10 @@ SOURCE_CREDIBILITY_ORDER = [
     "yahoo finance", "yahoo! finance",
 ]
 
+# Feed query: per-entity override, else this template; fixed query-string suffix of the feed URL.
+NEWS_QUERY_TEMPLATE = "{entity} payments Canada"
+FEED_URL_SUFFIX = "&hl=en-CA&gl=CA&ceid=CA:en"
+
 NEWS_CANDIDATES_PER_FEED = 20
 NEWS_KEPT_PER_SCAN = 2
 NEWS_COVERED_LOOKBACK = 50

@@ -146,7 +146,7 @@ def normalize_reviews(raw: DataFrame, per_app: int = 20, body_max: int = 600, ti
 
 
 FEED_BASE = "https://news.example/rss/search"
-QUERY_TEMPLATE = "{entity} payments Canada"
+QUERY_TEMPLATE = K.NEWS_QUERY_TEMPLATE
 
 
 def percent_encode(col: Column) -> Column:
@@ -163,7 +163,7 @@ def feed_query(entities: DataFrame, overrides: DataFrame) -> DataFrame:
     j = entities.join(overrides, "entity", "left")
     q = F.coalesce(F.col("query"), F.concat(F.lit(pre), F.col("entity"), F.lit(post)))
     return j.select("entity", q.alias("query"), F.concat(F.lit(FEED_BASE + "?q="), percent_encode(q),
-                                                        F.lit("&hl=en-CA&gl=CA&ceid=CA:en")).alias("feed_url"))
+                                                        F.lit(K.FEED_URL_SUFFIX)).alias("feed_url"))
 
 
 # --------------------------------------------------------------------------------------------
