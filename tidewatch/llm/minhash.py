@@ -15,8 +15,9 @@ with a similarity of 0.75 shares no band with a probability of (1 - 0.75^4)^32,
 
 Defined results: null or wordless texts have n_shingles 0 and stand alone; documents of fewer than
 five words have one shingle; rows with a null doc_id can't be named and are linked with nothing
-(component null, kept); rows that repeat a doc_id share its component and its verdict; other columns
-are ignored; an empty table gives an empty result.
+(component null, kept); rows that repeat a doc_id are each judged by their own text (deduplicate then
+keeps one row of a doc_id, the one of the smallest text); other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -294,9 +295,10 @@ def _split(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns; rows that repeat a kept doc_id go too."""
+    """One document of each component, with its own columns."""
     found = near_duplicates(docs).where("kept")
     keep = found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    return named.withColumn("_row", first).where("_row = 1").select(*docs.columns).unionByName(
         docs.where(F.col("doc_id").isNull()).select(*docs.columns))
