@@ -43,13 +43,14 @@ def social_score(tone: Column, focus: Column) -> Column:
 
 
 def latest_by_id(df: DataFrame, key: str = "entity", order: str = "id") -> DataFrame:
-    """the row with the largest id per key, as one aggregate (max_by over a struct).
+    """the row with the largest id per key.
 
-    A partial aggregate: each map task keeps one candidate per key, so even a key holding a third of
-    all rows never lands in one task as a group.
+    A hash aggregate of the ids (partial per map task, so a hot key sends one row each), joined back to
+    the rows: payload is neither sorted nor buffered. Rows that repeat the id are all returned.
     """
-    others = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r")).select(key, "_r.*")
+    newest = df.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_order"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_order"))
+    return df.join(newest, same).select(key, *[c for c in df.columns if c != key])
 
 
 def social_component(scan_social: DataFrame | None, stored_social: DataFrame) -> DataFrame:

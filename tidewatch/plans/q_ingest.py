@@ -180,7 +180,7 @@ def a7_normalize_reviews(spark, sf_dir):
     return A.normalize_reviews(T.reviews(_raw(spark, sf_dir)))
 
 
-_OVERRIDES = [("E6", "E6 Canada"), ("E7", "E7 POS Canada payments")]
+_OVERRIDES = [("E1", "E1 instant transfers"), ("E4", "E4 card terminals & tills")]
 
 
 @query("a8_feed_query", B.with_ctes(

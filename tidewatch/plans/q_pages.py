@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..operators import pages as P
+from ..session import cut_lineage
 from ..sources import tables as T
 from ..sources.html_blocks import page_blocks
 from . import sql_bindings as B
@@ -59,7 +60,7 @@ def b7_body_paragraphs(spark, sf_dir):
 def _current(spark, sf_dir):
     """Canonical text of every watched page, with the profile of its layer (B8) and hash."""
     w = T.watched_pages(T.Raw(spark, sf_dir))
-    blocks = page_blocks(w.select("page_id", "html"))
+    blocks = cut_lineage(page_blocks(w.select("page_id", "html")))  # one parse for both profiles and all sections
     text_page = P.page_text(blocks, "page")
     text_upd = P.page_text(blocks, "updates")
     meta = w.select("page_id", "entity", "layer", "page_key", "url")
@@ -67,7 +68,7 @@ def _current(spark, sf_dir):
         text_upd.withColumnRenamed("content_text", "t_upd"), "page_id", "left")
     cur = cur.select("page_id", "entity", "layer", "page_key", "url",
                      F.when(F.col("layer") == "update", F.col("t_upd")).otherwise(F.col("t_page")).alias("content_text"))
-    return P.with_hash(cur)
+    return cut_lineage(P.with_hash(cur))
 
 
 def _snapshots(current):

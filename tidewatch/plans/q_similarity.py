@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -108,7 +109,7 @@ def g3_changes_view(spark, sf_dir):
     raw = T.Raw(spark, sf_dir)
     # the fold compares descriptions, so they are attached after the newest-500 read, before C11
     out = G.changes_view(T.changes(raw, with_text=False), T.as_of(), segment="SMB",
-                         dedupe=lambda top: C.dedupe_changes_bounded(T.describe(raw, top)))
+                         dedupe=lambda top: C.dedupe_changes(T.describe(raw, top)))
     return out.select("id", "entity", "slot_key", "customer_impact_score", "segment_affected")
 
 
@@ -119,9 +120,9 @@ def g4_news_view(spark, sf_dir):
     def dedupe(df):
         # the read order (relevance desc, fetched_at desc, id desc) is the input order of the fold
         rank = F.row_number().over(
-            __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("entity").orderBy(
+            Window.partitionBy("entity").orderBy(
                 F.col("relevance").desc(), F.col("fetched_at").desc(), F.col("id").desc()))
-        return C.dedupe_stories_bounded(df, rank)
+        return C.dedupe_stories(df, rank)
 
     out = G.news_view(n, T.as_of(), level="High", dedupe=dedupe)
     return out.select("id", "entity", "group_id", "relevance", "source")

@@ -22,9 +22,12 @@ def _scratch(spark, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
 
 
-def _two_arrivals(df, path: str, split):
-    df.filter(split).write.parquet(f"{path}/src/part=1")
-    df.filter(~split).write.parquet(f"{path}/src/part=2")
+def _two_arrivals(df, path: str, split, start):
+    """Write the first rows, run the stream to its end, write the others, run it again: two batches,
+    however many files a write makes."""
+    for k, rows in enumerate((split, ~split), 1):
+        df.filter(rows).write.parquet(f"{path}/src/part={k}")
+        start().awaitTermination()
 
 
 @query("s1_snapshot_stream")
@@ -37,12 +40,11 @@ def s1_snapshot_stream(spark, sf_dir):
     second = w.select("entity", "page_key", (F.col("page_id") + F.lit(1 << 40)).alias("seq"), P.S.content_hash(html2).alias("content_hash"))
     path = _scratch(spark, "s1")
     both = first.unionByName(second)
-    _two_arrivals(both, path, F.col("seq") < F.lit(1 << 40))
     schema = "entity string, page_key string, seq long, content_hash string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/src/part=*")
-    q = ST.snapshot_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option(
-        "checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream = spark.readStream.schema(schema).parquet(f"{path}/src/part=*")
+    sink = ST.snapshot_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/ck").trigger(availableNow=True)
+    _two_arrivals(both, path, F.col("seq") < F.lit(1 << 40), sink.start)
     return spark.read.schema(ST.SNAPSHOT_OUT).parquet(f"{path}/out")
 
 
@@ -52,12 +54,11 @@ def s2_insert_ignore_stream(spark, sf_dir):
     n = T.news(T.Raw(spark, sf_dir)).select(
         "id", "entity", "url", F.concat(F.lit("https://news.example/a/"), (F.col("id") % 200).cast("string")).alias("link"))
     path = _scratch(spark, "s2")
-    _two_arrivals(n, path, F.col("id") % 2 == 0)
     schema = "id long, entity string, url string, link string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/src/part=*")
-    q = ST.insert_ignore_stream(stream, f"{path}/table", ["entity", "link"], "id", schema).option(
-        "checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream = spark.readStream.schema(schema).parquet(f"{path}/src/part=*")
+    sink = ST.insert_ignore_stream(stream, f"{path}/table", ["entity", "link"], "id", schema).option(
+        "checkpointLocation", f"{path}/ck").trigger(availableNow=True)
+    _two_arrivals(n, path, F.col("id") % 2 == 0, sink.start)
     return spark.read.parquet(f"{path}/table").select("id", "entity", "link", "batch")
 
 
@@ -69,10 +70,8 @@ def s3_covered_stream(spark, sf_dir):
     n = T.news(raw)
     path = _scratch(spark, "s3")
     n.write.parquet(f"{path}/stored")
-    _two_arrivals(n.select("id", "entity", "headline"), path, F.col("id") % 2 == 0)
-    stream = spark.readStream.schema("id long, entity string, headline string").option(
-        "maxFilesPerTrigger", 1).parquet(f"{path}/src/part=*")
-    q = ST.covered_stream(stream, f"{path}/table", f"{path}/stored", T.as_of(), "id long, entity string, headline string").option(
-        "checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream = spark.readStream.schema("id long, entity string, headline string").parquet(f"{path}/src/part=*")
+    sink = ST.covered_stream(stream, f"{path}/table", f"{path}/stored", T.as_of(), "id long, entity string, headline string").option(
+        "checkpointLocation", f"{path}/ck").trigger(availableNow=True)
+    _two_arrivals(n.select("id", "entity", "headline"), path, F.col("id") % 2 == 0, sink.start)
     return spark.read.parquet(f"{path}/table").select("id", "entity", "batch")

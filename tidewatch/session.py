@@ -7,6 +7,7 @@ what is unset (UTC session zone, AQE, Arrow, a checkpoint folder for tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,15 +53,15 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage in iterative operators.
 
-    Reads `spark.checkpoint.dir` from the session (a cluster names a shared, fault-tolerant folder
-    there). Only when it is unset - local tests - a fresh scratch folder is created and registered.
+    Reads `spark.checkpoint.dir` from the session: a cluster names a shared, fault-tolerant folder
+    there, and without one this fails, as files on one machine's disk are lost to the others. Only a
+    session whose executors are this very process (local tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -68,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -2,7 +2,8 @@
 
 * S1 keeps the last content hash per (entity, page_key) in Spark's fault-tolerant state store
   (`applyInPandasWithState`): state is one small row per watched page, and every arrival is
-  labelled baseline / unchanged / changed against the state, in arrival order within a batch.
+  labelled baseline / unchanged / changed against the state, in order of `seq` within a batch; an
+  arrival older than the stored snapshot is labelled late and changes nothing.
 * S2 and S3 need the rows already stored in a table, so they run as `foreachBatch` sinks that call
   the batch operators (A11, C9) against that table and append with the batch id as the version:
   a replayed batch overwrites its own version, so the sink is idempotent.
@@ -26,14 +27,16 @@ SNAPSHOT_STATE = "content_hash string, seq long"
 
 def _compare_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     entity, page_key = key
-    prev = state.get[0] if state.exists else None
+    prev, newest = state.get if state.exists else (None, None)
     rows = pd.concat(list(pdfs)).sort_values("seq").reset_index(drop=True)
     status = []
-    last_seq = None
     for h, seq in zip(rows["content_hash"], rows["seq"]):
+        if newest is not None and seq < newest:
+            status.append("late")  # older than the stored snapshot, which stays
+            continue
         status.append("baseline" if prev is None else ("unchanged" if prev == h else "changed"))
-        prev, last_seq = h, seq
-    state.update((prev, int(last_seq)))
+        prev, newest = h, int(seq)
+    state.update((prev, newest))
     yield pd.DataFrame({"entity": entity, "page_key": page_key, "seq": rows["seq"].astype("int64"),
                         "content_hash": rows["content_hash"], "status": status})
 
@@ -50,10 +53,10 @@ def _append_version(df: DataFrame, table_path: str, batch_id: int) -> None:
 
 def _stored(spark: SparkSession, table_path: str, schema: str, batch_id: int) -> DataFrame:
     """Rows stored by earlier batches (a replay of this batch ignores its own earlier output)."""
-    try:
-        df = spark.read.schema(schema + ", batch long").parquet(table_path)
-    except Exception:  # noqa: BLE001 - no version written yet
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):  # no version written yet
         return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema + ", batch long").parquet(table_path)
     return df.filter(F.col("batch") < batch_id).drop("batch")
 
 
