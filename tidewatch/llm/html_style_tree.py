@@ -176,11 +176,11 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 dom, seen = Page(html or ""), set()
                 for node, text, up in dom.content():
                     seen.add((0, node, hash_of(text), 0))
-                    for above in up:
-                        seen.add((2, above, node, 0))
-                        kids = dom.children.get(above, [])
-                        shape = [k for k, j in zip(kids, [None, *kids]) if k != j]  # repeats of a child are one
-                        seen.add((1, above, hash_of(",".join(map(str, shape))), len(kids)))
+                    seen.update((2, above, node, 0) for above in up)
+                for above in {s[1] for s in seen if s[0] == 2}:  # each element's children once
+                    kids = dom.children.get(above, [])
+                    shape = [k for k, j in zip(kids, [None, *kids]) if k != j]  # repeats of a child are one
+                    seen.add((1, above, hash_of(",".join(map(str, shape))), len(kids)))
                 rows += [(page, host, *s) for s in seen]
             names, kinds = ["page", "host", "kind", "node", "value", "width"], [pa.string()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
