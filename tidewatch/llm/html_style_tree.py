@@ -29,6 +29,7 @@ page; other columns pass through, a column of a result's name is replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import checkpoint_dir
 
 GAMMA = 0.9
 MIN_PAGES = 10
@@ -217,7 +218,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THR
     keyed = pages.drop("text", "n_chars").withColumns({
         "_host": host, "_page": F.md5(F.concat_ws("\n", host, html).cast("binary"))})
     nodes = keyed.select("_page", "_host", html.alias("html")).mapInArrow(_style_nodes, _NODES).distinct()
-    nodes = cut_lineage(nodes)
+    folder = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/style-nodes-{uuid.uuid4().hex}"
+    nodes.write.parquet(folder)  # compressed, unlike a checkpoint
+    nodes = pages.sparkSession.read.schema(_NODES).parquet(folder)
     low = importance(nodes).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "node")
     cut = (nodes.where("kind = 1").join(low, ["host", "node"], "left_semi")
            .groupBy("page").agg(F.collect_set("node").alias("_low")).withColumnRenamed("page", "_page"))
