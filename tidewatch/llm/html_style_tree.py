@@ -165,15 +165,16 @@ def main_text(html: str | None, low=frozenset()) -> str:
     return "\n".join(kept or [t for _, t, _ in blocks])
 
 
-_NODES = "page string, host string, kind int, node long, value long, width int"
+_NODES = "page binary, host string, nodes array<struct<kind: tinyint, node: bigint, value: bigint, width: int>>"
+_FIELDS = {"kind": pa.int8(), "node": pa.int64(), "value": pa.int64(), "width": pa.int32()}
 
 
 def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes of pages: kind 0 a text of a block, 1 an element's child sequence, 2 a block below an element."""
+    """A row per page with its style nodes: kind 0 a text of a block, 1 an element's child sequence, 2 a block below an element."""
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
-            part, rows = batch.slice(a, 64), []
-            for page, host, html in zip(*(c.to_pylist() for c in part.columns)):
+            part, rows, ends = batch.slice(a, 64), [], [0]
+            for html in part.column(2).to_pylist():
                 dom, seen = Page(html or ""), set()
                 for node, text, up in dom.content():
                     seen.add((0, node, hash_of(text), 0))
@@ -182,9 +183,11 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kids = dom.children.get(above, [])
                     shape = [k for k, j in zip(kids, [None, *kids]) if k != j]  # repeats of a child are one
                     seen.add((1, above, hash_of(",".join(map(str, shape))), len(kids)))
-                rows += [(page, host, *s) for s in seen]
-            names, kinds = ["page", "host", "kind", "node", "value", "width"], [pa.string()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+                rows += sorted(seen)
+                ends.append(len(rows))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _FIELDS.values())]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(_FIELDS)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes], ["page", "host", "nodes"])
 
 
 def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
@@ -216,11 +219,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THR
     html = F.coalesce(F.col("html"), F.lit(""))
     host = host_of(F.col("url"))
     keyed = pages.drop("text", "n_chars").withColumns({
-        "_host": host, "_page": F.md5(F.concat_ws("\n", host, html).cast("binary"))})
-    nodes = keyed.select("_page", "_host", html.alias("html")).mapInArrow(_style_nodes, _NODES).distinct()
+        "_host": host, "_page": F.unhex(F.md5(F.concat_ws("\n", host, html).cast("binary")))})
+    nodes = keyed.select("_page", "_host", html.alias("html")).mapInArrow(_style_nodes, _NODES).dropDuplicates(["page"])
     folder = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/style-nodes-{uuid.uuid4().hex}"
     nodes.write.parquet(folder)  # compressed, unlike a checkpoint
-    nodes = pages.sparkSession.read.schema(_NODES).parquet(folder)
+    nodes = pages.sparkSession.read.schema(_NODES).parquet(folder).select("page", "host", F.inline("nodes"))
     low = importance(nodes).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "node")
     cut = (nodes.where("kind = 1").join(low, ["host", "node"], "left_semi")
            .groupBy("page").agg(F.collect_set("node").alias("_low")).withColumnRenamed("page", "_page"))
