@@ -239,8 +239,13 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 def sample(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     """(text, lang, part) of at most `per_lang` documents of each language; part 0 calibrates."""
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("bucket", F.shiftright("h", 52))
+    # counts of 4096 hash ranges tell where a language's sample ends, so only rows up to there are ranked
+    ahead = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    last = (hashed.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+            .where(F.col("ahead") < per_lang).groupBy("lang").agg(F.max("bucket").alias("last")))  # a row per learned language
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = (known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    picked = (hashed.join(F.broadcast(last), "lang").where("bucket <= last")
               .withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_lang)
               .select("doc_id", "lang", F.pmod(F.col("rank"), F.lit(5)).alias("part")).dropDuplicates(["doc_id", "lang"]))
     return known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
