@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_PIECES = 600_000  # bound on what a worker remembers; beyond it the memory starts anew
+MEMO_PIECES = 250_000  # bound on what a worker remembers; beyond it the memory starts anew
 GROUP_CHARS = 1 << 16  # length of a joined text
 BATCH_BYTES = 4 << 20  # text handled at once
 
