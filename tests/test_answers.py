@@ -26,6 +26,9 @@ def test_parse_answers_faults(spark):
         json.dumps({**GOOD, "customer_impact_score": 0}),                    # clamped to 1
         json.dumps({**GOOD, "customer_impact_score": 11}),                   # clamped to 10
         json.dumps({**GOOD, "customer_impact_score": "seven"}),              # wrong type
+        json.dumps({**GOOD, "customer_impact_score": "7"}),                  # a quoted number
+        json.dumps({**GOOD, "description": 3}),                              # a number for a string
+        json.dumps(dict.fromkeys(GOOD)),                                     # null everywhere
     ]
     p = D.parse_answers(_answers(spark, rows), D.CHANGE_ANSWER)
     got = {r.id: (r.reasons, r.score) for r in p.select(
@@ -36,7 +39,9 @@ def test_parse_answers_faults(spark):
     assert got[3][0] == ["enum:change_type"]
     assert got[4][0] == ["extra:extra"]
     assert got[5] == ([], 1) and got[6] == ([], 10)
-    assert got[7][0] == ["type:customer_impact_score"]
+    assert got[7][0] == got[8][0] == ["type:customer_impact_score"]
+    assert got[9][0] == ["type:description"]
+    assert got[10][0] == [f"type:{k}" for k in GOOD]
 
 
 def test_repair_blank_and_align(spark):

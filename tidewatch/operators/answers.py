@@ -36,21 +36,23 @@ OFFER_ANSWER = {
 
 def parse_answers(df: DataFrame, spec: dict, json_col: str = "answer") -> DataFrame:
     """Parse the JSON answer; flag invalid JSON, missing or extra keys, wrong types and unknown
-    enum values. Adds the typed fields and `reasons` (empty array = valid)."""
+    enum values. A JSON null, a number for a string or a quoted number for an integer is a wrong
+    type. Adds the typed fields and `reasons` (empty array = valid)."""
     keys = F.json_object_keys(F.col(json_col))
     allowed = F.array(*[F.lit(k) for k in spec])
     ddl = ", ".join(f"`{k}` string" for k in spec)
     parsed = df.withColumn("_j", F.from_json(F.col(json_col), ddl, {"mode": "PERMISSIVE"})).withColumn("_keys", keys)
+    parsed = parsed.withColumn("_v", F.try_parse_json(F.col(json_col)))
     checks = [F.when(F.col("_keys").isNull(), F.lit("invalid_json"))]
     for k, (typ, enum) in spec.items():
         raw = F.col(f"_j.{k}")
-        present = F.array_contains(F.col("_keys"), k)
+        present = F.coalesce(F.array_contains(F.col("_keys"), k), F.lit(False))
+        kind = F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{k}", "variant"))
+        typed_ok = F.coalesce(kind == ("BIGINT" if typ == "int" else "STRING"), F.lit(False))
         checks.append(F.when(F.col("_keys").isNotNull() & ~present, F.lit(f"missing:{k}")))
-        if typ == "int":
-            ok = raw.rlike("^-?[0-9]+$")
-            checks.append(F.when(present & ~ok, F.lit(f"type:{k}")))
+        checks.append(F.when(present & ~typed_ok, F.lit(f"type:{k}")))
         if enum is not None:
-            checks.append(F.when(present & ~raw.isin(*enum), F.lit(f"enum:{k}")))
+            checks.append(F.when(present & typed_ok & ~F.coalesce(raw.isin(*enum), F.lit(False)), F.lit(f"enum:{k}")))
     extra = F.array_except(F.coalesce(F.col("_keys"), F.array().cast("array<string>")), allowed)
     checks.append(F.when(F.size(extra) > 0, F.concat(F.lit("extra:"), F.array_join(F.array_sort(extra), ","))))
     out = parsed.withColumn("reasons", F.array_compact(F.array(*checks)))
