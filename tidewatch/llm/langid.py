@@ -248,7 +248,8 @@ def sample(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     picked = (hashed.join(F.broadcast(last), "lang").where("bucket <= last")
               .withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_lang)
               .select("doc_id", "lang", F.pmod(F.col("rank"), F.lit(5)).alias("part")).dropDuplicates(["doc_id", "lang"]))
-    return known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    # picked has at most per_lang rows for each learned language: broadcast, so no text is shuffled
+    return known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
 
 
 def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model | None:
