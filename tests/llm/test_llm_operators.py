@@ -62,6 +62,18 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert html_style_tree.extract(df.where("false")).count() == 0
 
 
+def test_names_do_not_drop_an_article_or_most_of_the_text():
+    text, words = html_style_tree.main_text, "one two three four five six"
+    side = "<div class='sidebar'>links</div>"
+    for open_, close in (("<div class='layout has-sidebar'>", "</div>"), ("<div id='no-comments'>", "</div>"), ("<form id='aspnet'>", "</form>")):
+        assert text(f"<body>{open_}{side}<article><p>{words}</p></article>{close}</body>") == words
+        assert text(f"<body>{open_}{side}<div><p>{words}</p></div>{close}<footer>foot</footer></body>") == words
+    teaser = f"<body><div><p>{words}</p><p>{words}</p></div><article>teaser</article></body>"
+    assert text(teaser) == f"{words}\n{words}\nteaser"
+    assert text("<nav>abc</nav><footer>def</footer>") == "abc\ndef"  # nothing else is there
+    assert text(f"<p>{words} <span class='share'>tweet</span> seven</p>") == f"{words} seven"
+
+
 # ---------------------------------------------------------------- 2 near-duplicates
 
 def test_near_duplicates_equal_brute_force(spark):

@@ -16,7 +16,9 @@ the page keeps them (a host that serves one text everywhere).
 
 Many navigation bars, adverts and footers differ from page to page, so entropy alone cannot tell
 them from content: branches whose tag, role, class or id names such a part are left out in both
-passes, and where a page has <article> or <main>, content is looked for there only.
+passes, unless they hold an <article> or <main> or most of the page's text (a name is evidence,
+weighed with the share of the text). Where <article> and <main> hold most of the remaining text,
+content is looked for there only.
 
 Statistics are aggregated partially before each shuffle (a host may hold a third of all pages).
 Only node hashes travel; a page's list of low nodes is bounded by its own DOM.
@@ -45,11 +47,12 @@ THRESHOLD = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head script style noscript template title nav menu aside footer form button select option textarea dialog iframe "
-    "object svg canvas audio video map datalist".split())
+    "head script style noscript template title button select option textarea iframe object svg canvas audio video map "
+    "datalist".split())
+PARTS = frozenset("nav menu aside footer form dialog".split())
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody "
-    "tfoot tr figure figcaption header address details summary hr center fieldset".split())
+    "tfoot tr figure figcaption header address details summary hr center fieldset".split()) | PARTS
 CLOSES_P = BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
@@ -63,9 +66,9 @@ NAMES = frozenset(
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _noise(tag: str, attrs: dict, in_main: bool) -> bool:
-    """A part that is never the page's text, by its tag, role, class, id or a mark that hides it."""
-    if tag in DROPPED or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+def _named(tag: str, attrs: dict, in_main: bool) -> bool:
+    """A part that is rarely the page's text, by its tag, role, class, id or a mark that hides it."""
+    if tag in PARTS or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
     if (attrs.get("role") or "").strip().lower() in ROLES or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
         return True
@@ -85,28 +88,29 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, node, is it noise (or inside of noise)
+        self.open: list[tuple[str, int, bool, tuple]] = []  # tag, node, is it dropped (or inside), named branches it is in
         self.n_main = 0
-        self.blocks: list[tuple[int, str, bool, tuple]] = []  # node, text, inside of article or main, ancestors
-        self.children: dict[int, list[int]] = {}
-        self.parts: list[str] = []
+        self.blocks: list[tuple[int, list, bool, tuple]] = []  # node, parts, inside of article or main, ancestors
+        self.children: dict[int, list[tuple[int, tuple]]] = {}
+        self.vouched: list[bool] = []  # per named branch: does it hold an article or main
+        self.parts: list[tuple[str, tuple]] = []  # text, named branches it is in
         self.feed(html)
         self.close()
         self._flush()
+        self.out = self._cut()
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
-        if text:
-            nodes = tuple(n for _, n, _ in self.open)
+        parts, self.parts = self.parts, []
+        if any(data != " " for data, _ in parts):
+            nodes = tuple(o[1] for o in self.open)
             at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in BLOCKS), -1)
-            self.blocks.append((nodes[at] if at >= 0 else 0, text, self.n_main > 0, nodes[:at + 1]))
+            self.blocks.append((nodes[at] if at >= 0 else 0, parts, self.n_main > 0, nodes[:at + 1]))
 
     def _pop(self, k: int) -> None:
         """Close the open elements from the k-th on."""
-        if any(t in BLOCKS for t, _, _ in self.open[k:]):
+        if any(o[0] in BLOCKS for o in self.open[k:]):
             self._flush()
-        self.n_main -= sum(t in MAIN for t, _, _ in self.open[k:])
+        self.n_main -= sum(o[0] in MAIN for o in self.open[k:])
         del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -121,16 +125,22 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         elif tag in ("br", "td", "th", "img"):
-            self.parts.append(" ")
+            self.parts.append((" ", ()))
         if tag in VOID:
             return
         attrs = dict(attrs)
-        parent, noise = (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
-        noise = noise or _noise(tag, attrs, self.n_main > 0)
+        _, parent, dropped, named = self.open[-1] if self.open else ("", 0, False, ())
+        dropped = dropped or tag in DROPPED
+        if tag in MAIN and not dropped:
+            for k in named:
+                self.vouched[k] = True
+        if not dropped and _named(tag, attrs, self.n_main > 0):
+            named = (*named, len(self.vouched))
+            self.vouched.append(False)
         node = hash_of(f"{parent}>{tag}.{attrs.get('class') or ''}#{attrs.get('id') or ''}")
-        if not noise:
-            self.children.setdefault(parent, []).append(node)
-        self.open.append((tag, node, noise))
+        if not dropped:
+            self.children.setdefault(parent, []).append((node, named))
+        self.open.append((tag, node, dropped, named))
         self.n_main += tag in MAIN
 
     def handle_startendtag(self, tag, attrs):
@@ -143,13 +153,39 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.open or not self.open[-1][2]:
-            self.parts.append(data)
+        if not self.open:
+            self.parts.append((data, ()))
+        elif not self.open[-1][2]:
+            self.parts.append((data, self.open[-1][3]))
+
+    def _cut(self) -> set[int]:
+        """The named branches to leave out: those without article or main and with half of the text at most (none, if
+        nothing else is there)."""
+        if not self.vouched:
+            return set()
+        total, chars = 0, [0] * len(self.vouched)
+        for _, parts, _, _ in self.blocks:
+            for data, named in parts:
+                n = sum(map(len, data.split()))
+                total += n
+                for k in named:
+                    chars[k] += n
+        out = {k for k, vouched in enumerate(self.vouched) if not vouched and 2 * chars[k] <= total}
+        rest = any(data.strip() and not out.intersection(named) for _, parts, _, _ in self.blocks for data, named in parts)
+        return out if rest else set()
+
+    def kids(self, node: int) -> list[int]:
+        """An element's children without the branches left out."""
+        return [k for k, named in self.children.get(node, ()) if not self.out.intersection(named)]
 
     def content(self) -> list[tuple[int, str, tuple]]:
-        """Blocks of the page's articles (of the whole body without one): node, text, nodes above and itself."""
-        main = any(b[2] for b in self.blocks)
-        return [(n, t, up) for n, t, inside, up in self.blocks if inside or not main]
+        """Blocks without the named branches, and of article and main only where these hold most of them: node, text,
+        nodes above and itself."""
+        blocks = [(n, " ".join("".join(d for d, named in parts if not self.out.intersection(named)).split()), inside, up)
+                  for n, parts, inside, up in self.blocks]
+        blocks = [b for b in blocks if b[1]]
+        main = 2 * sum(len(b[1]) for b in blocks if b[2]) > sum(len(b[1]) for b in blocks)
+        return [(n, t, up) for n, t, inside, up in blocks if inside or not main]
 
 
 def hash_of(s: str) -> int:
@@ -180,7 +216,7 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add((0, node, hash_of(text), 0))
                     seen.update((2, above, node, 0) for above in up)
                 for above in {s[1] for s in seen if s[0] == 2}:  # each element's children once
-                    kids = dom.children.get(above, [])
+                    kids = dom.kids(above)
                     shape = [k for k, j in zip(kids, [None, *kids]) if k != j]  # repeats of a child are one
                     seen.add((1, above, hash_of(",".join(map(str, shape))), len(kids)))
                 rows += sorted(seen)
