@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -146,6 +147,27 @@ def test_repeats_in_split_blocks_and_inside_texts(spark, monkeypatch):
     assert repeats.remove_repeats(df.where("false")).count() == 0
 
 
+def test_a_long_run_of_one_character_is_dealt_over_blocks(spark, monkeypatch):
+    block, limit = repeats._block, 2 * repeats.BLOCK
+
+    def bounded(table):
+        assert table.num_rows <= limit
+        return block(table)
+
+    monkeypatch.setattr(repeats, "_block", bounded)
+    rows = [(1, "-" * 20_000), (2, "x" + "-" * 450), (3, "-" * 399 + "y"), (4, "z" * 399)]
+    got = sorted(tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.remove_repeats(rows))
+
+
+def test_passages_of_a_text_come_in_bounded_batches():
+    n = 3 * repeats.BLOCK + 5
+    found = [{"hash": 7, "pos": k, "low": k, "high": k, "n": n} for k in range(n)]
+    batch = pa.RecordBatch.from_pydict({"text_key": ["skip", "a"], "text": ["b" * 500, "-" * (n + 399)], "anchors": [found[:2], found]})
+    sizes = [b.num_rows for b in repeats._cut_passages(iter([batch]))]
+    assert sum(sizes) == n + 2 and max(sizes) <= repeats.BLOCK
+
+
 # ---------------------------------------------------------------- 4 quality
 
 def test_quality_edges(spark, edge, empty):

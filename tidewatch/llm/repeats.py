@@ -13,8 +13,8 @@ as the longest document has bytes. So it is applied to short anchored passages i
 3. Rounds. A task takes a bounded block of passages and inserts one column each round, from right to
    left: a stable sort by the new symbol updates the order of the suffixes, and range minima
    update their common prefixes. Two windows are equal where the common prefix reaches LENGTH.
-4. An anchor with more passages than a block holds is dealt over several blocks; what a block found
-   unique is compared with the other blocks by 128-bit hashes of the windows.
+4. An anchor with more passages than a block holds is dealt over several blocks, by text and place; what a
+   block found unique is compared with the other blocks by 128-bit hashes of the windows.
 
 Copies of a whole text are one text with a count. Defined results: null and short texts lose
 nothing; a repeated row (also with the same doc_id) counts as another document; strings never
@@ -127,14 +127,16 @@ def _cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for k in range(batch.num_rows):
             key, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
-            rows = batch.column(2)[k].as_py()
-            yield pa.RecordBatch.from_pydict({
-                "text_key": pa.array([key] * len(rows), pa.string()),
-                "hash": pa.array([r["hash"] for r in rows], pa.int64()),
-                "n": pa.array([r["n"] for r in rows], pa.int64()),
-                "left": pa.array([r["pos"] - r["low"] for r in rows], pa.int32()),
-                "first": pa.array([r["low"] for r in rows], pa.int32()),
-                "passage": pa.array([text[r["low"]:r["high"] + LENGTH] for r in rows], pa.binary())})
+            found = batch.column(2)[k].values
+            for a in range(0, len(found), BLOCK):  # a text of a short period has an anchor per period
+                rows = found.slice(a, BLOCK).to_pylist()
+                yield pa.RecordBatch.from_pydict({
+                    "text_key": pa.array([key] * len(rows), pa.string()),
+                    "hash": pa.array([r["hash"] for r in rows], pa.int64()),
+                    "n": pa.array([r["n"] for r in rows], pa.int64()),
+                    "left": pa.array([r["pos"] - r["low"] for r in rows], pa.int32()),
+                    "first": pa.array([r["low"] for r in rows], pa.int32()),
+                    "passage": pa.array([text[r["low"]:r["high"] + LENGTH] for r in rows], pa.binary())})
 
 
 def column_rounds(group: np.ndarray, left: np.ndarray, passages: list[bytes], length: int = LENGTH, q: int = Q):
@@ -257,7 +259,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts, buckets = F.ceil(F.col("n") / BLOCK).cast("int"), max(1, -(-2 * total // BLOCK))
     dealt = passages.withColumn("split", parts > 1).withColumns({
         "bucket": F.when(F.col("split"), F.col("hash")).otherwise(F.pmod("hash", F.lit(buckets))),
-        "part": F.when(F.col("split"), F.pmod(F.xxhash64("text_key"), parts).cast("int")).otherwise(F.lit(-1))})
+        "part": F.when(F.col("split"), F.pmod(F.xxhash64("text_key", "first"), parts).cast("int")).otherwise(F.lit(-1))})
     out = cut_lineage(dealt.drop("n").groupBy("bucket", "part").applyInArrow(_block, _RUNS))
 
     across = out.where("kind > 0")
