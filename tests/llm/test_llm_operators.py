@@ -223,6 +223,15 @@ def test_language_edges(spark, edge, empty):
     assert langid.identify(empty).count() == 0
 
 
+@pytest.mark.parametrize("out", ["fr", "es"])
+def test_a_language_that_is_not_learned_goes(spark, out):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    got = langid.identify(docs, docs.where(~langid.held_out()).where(docs.lang != out)).where("held_out").select("lang", "language.rejected").collect()
+    gone = [r["rejected"] for r in got if r["lang"] == out]
+    clean = [r["rejected"] for r in got if r["lang"] != out]
+    assert sum(gone) > 0.95 * len(gone) and sum(clean) < 0.03 * len(clean)
+
+
 def test_kneser_ney_sums_to_one():
     """Over all known characters and the unknown rest, probabilities after a context sum to one."""
     text = "\0\0\0 abracadabra cab"

@@ -9,8 +9,11 @@ order, with a row of log probabilities (one per language) next to every hash.
 Scoring: texts are lower-cased, every run of non-letters becomes one blank, and each character is
 looked up at the highest order that any language has seen, backing off for the others. The language
 of the lowest cross-entropy per character wins. A fifth of the sample stays out of the counts and
-calibrates the rejection: per language the mean cross-entropy, and the 0.999 quantile of how far a
-document of its length strays from it. Documents beyond it, and `MARGIN` nats at least, are rejected.
+calibrates the rejection: per language and length class (powers of 4 letters) the 0.999 quantile of
+the cross-entropy of one more document, by Student's t from the class's mean and deviation (the
+largest of a few documents would be too low a limit). Documents beyond it are rejected. A class of
+under `CLASS_DOCS` held-back documents is pooled with its nearest ones; a language of under three
+such documents rejects nothing.
 
 No shuffle of documents: scoring is one Arrow function over whole texts.
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 ORDER = 4
 TRAIN_DOCS = 1500  # of each language
 QUANTILE = 0.999
-MARGIN = 1.5
+N_CLASSES = 16
+CLASS_DOCS = 10  # held-back documents that a length class is calibrated from, at least
 CHUNK_CHARS = 1 << 17
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -144,8 +149,7 @@ class Model:
     grams: list[Table]  # per order: log probabilities of the n-grams
     backoff: list[Table]  # per order: log weights of the contexts
     floor: np.ndarray  # log probability of a character that no language has seen
-    mean: np.ndarray
-    spread: np.ndarray
+    limit: np.ndarray  # per language and length class: the highest cross-entropy that is not rejected
 
     def _log(self, mixed: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         """Rows of log probabilities of the characters at positions `at`, from order n downwards."""
@@ -179,7 +183,7 @@ class Model:
         best = x.argmin(1)
         least = x[np.arange(len(x)), best]
         score = 1 / np.exp(-(x - least[:, None]) * np.minimum(n_letters, 200)[:, None]).sum(1)
-        limit = self.mean[best] + np.maximum(MARGIN, self.spread[best] / np.sqrt(np.maximum(n_letters, 1)))
+        limit = self.limit[best, length_class(n_letters)]
         return [
             {"lang_pred": self.langs[b], "score": s, "xent": e, "n_letters": n, "rejected": bool(r)} if n else
             {"lang_pred": "und", "score": 0.0, "xent": None, "n_letters": 0, "rejected": True}
@@ -220,8 +224,28 @@ def _estimate(counts: dict[str, dict[str, int]]) -> Model:
         backoff.append(Table(contexts, np.log([[weight[lang].get(c, 1.0) for lang in langs] for c in contexts])))
         if n == 1:
             floor = np.log(np.array([weight[lang].get("", 1.0) * uniform for lang in langs]))
-    zero = np.zeros(len(langs))
-    return Model(langs, grams, backoff, floor.astype(np.float32), zero, zero)
+    return Model(langs, grams, backoff, floor.astype(np.float32), np.full((len(langs), N_CLASSES), np.inf))
+
+
+def length_class(n_letters) -> np.ndarray:
+    """0 for 1-3 letters, 1 for 4-15, and so on."""
+    return np.minimum(np.log2(np.maximum(n_letters, 1)).astype(np.int64) // 2, N_CLASSES - 1)
+
+
+def limits(xent, n_letters) -> np.ndarray:
+    """The calibrated limit of every length class, from a language's held-back documents."""
+    x, of = np.asarray(xent, float), length_class(np.asarray(n_letters, float))
+    out = np.full(N_CLASSES, np.inf)
+    if len(x) < 3:
+        return out
+    z = NormalDist().inv_cdf(QUANTILE)
+    for k in range(N_CLASSES):
+        away = np.abs(of - k)
+        near = x[away <= np.sort(away)[min(CLASS_DOCS, len(x)) - 1]]
+        free = len(near) - 1
+        t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free**2)
+        out[k] = near.mean() + t * near.std(ddof=1) * np.sqrt(1 + 1 / len(near))
+    return out
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -281,12 +305,7 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model | None:
     by_lang = defaultdict(list)
     for lang, x, n in zip(seen["lang"], seen["xent"], seen["n_letters"]):
         by_lang[lang].append((x, n))
-    mean, spread = np.zeros(len(model.langs)), np.zeros(len(model.langs))
-    for k, lang in enumerate(model.langs):
-        x, n = (np.array(v, float) for v in zip(*by_lang[lang])) if by_lang[lang] else (np.array([np.inf]), np.ones(1))
-        mean[k] = (x * n).sum() / n.sum()
-        spread[k] = np.quantile(np.maximum(x - mean[k], 0) * np.sqrt(n), QUANTILE) if by_lang[lang] else 0.0
-    model.mean, model.spread = mean, spread
+    model.limit = np.array([limits(*(zip(*by_lang[lang]) if by_lang[lang] else ((), ()))) for lang in model.langs])
     return model
 
 
