@@ -53,3 +53,7 @@ def test_reads_push_top_n_below_joins(spark):
 def test_latest_rows_use_no_sort_aggregate(spark):
     for name in ("f6_latest_score", "f6_latest_sentiment", "f6_latest_social", "g11_social_cards"):
         assert "SortAggregate" not in _plan(entry.queries()[name](spark, SF_SMALL)), name
+
+
+def test_watch_pages_collects_no_group(spark):
+    assert "collect_list" not in _plan(entry.queries()["a2_watch_pages"](spark, SF_SMALL))

@@ -37,11 +37,10 @@ LAYER_PREFIX = {"page": "", "update": "product_updates::", "offer": "offers::"}
 
 
 def watch_pages(rosters: DataFrame) -> DataFrame:
-    """Flatten entity -> {label -> url} maps of each layer into rows keyed by the layered snapshot
-    key, so one snapshot table holds the three layers. rosters: entity, layer, pages map."""
+    """Key the pages of each (entity, layer) by the layered snapshot key, so one snapshot table holds
+    the three layers. rosters: entity, layer, label, url, one row per page."""
     prefix = F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in LAYER_PREFIX.items()], F.lit(""))
-    rows = rosters.select("entity", "layer", F.explode("pages").alias("label", "url"))
-    return rows.select("entity", "layer", "label", F.concat(prefix, F.col("label")).alias("page_key"), "url")
+    return rosters.select("entity", "layer", "label", F.concat(prefix, F.col("label")).alias("page_key"), "url")
 
 
 # --------------------------------------------------------------------------------------------

@@ -156,8 +156,7 @@ def a1_conform_offers(spark, sf_dir):
     "|| 'p' || CAST(page_id AS VARCHAR) AS page_key)", ["b_titles"]))
 def a2_watch_pages(spark, sf_dir):
     w = T.watched_pages(_raw(spark, sf_dir))
-    rosters = w.groupBy("entity", "layer").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")), F.col("url")))).alias("pages"))
+    rosters = w.select("entity", "layer", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("label"), "url")
     return A.watch_pages(rosters).select("entity", "layer", "page_key", "url")
 
 
