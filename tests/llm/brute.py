@@ -1,8 +1,10 @@
 """Plain, slow versions of the operators that SQL cannot express, for small fixtures."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,3 +57,107 @@ def remove_repeats(rows, length=400):
         left = bytes(x for x, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(left).hexdigest()))
     return out
+
+
+def damaged(rows):
+    """[(conv_id, turn, role, text)] after the planted faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        case = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if case == 1:
+            text = ""
+        elif case == 2:
+            text = re.sub("[.!?]", "", text)
+        elif case == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if case == 0 else 2 if case == 3 else 1)
+    return out
+
+
+def cheapest(rows):
+    """(cost, audit) over all rows (initial, must go, truncated), by dynamic programming."""
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    wanted = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+    def insert(best):
+        for _ in range(3):
+            for state, (cost, audit) in list(best.items()):
+                way = (cost + 5, audit + "I")
+                if wanted[state] not in best or way < best[wanted[state]]:
+                    best[wanted[state]] = way
+        return best
+
+    best = insert({"": (0, "")})
+    for role, gone, truncated in rows:
+        new = {}
+        for state, (cost, audit) in best.items():
+            ways = [(state, cost + 2, "D")]
+            if not gone:
+                ways.append((wanted[state], cost + 1 + 5 * truncated, "R"))
+                if (state, role) in step:
+                    ways.append((step[state, role], cost + 5 * truncated, "K"))
+            for to, c, e in ways:
+                if to not in new or (c, audit + e) < new[to]:
+                    new[to] = (c, audit + e)
+        best = insert(new)
+    return min(best[s] for s in ("", "a") if s in best)
+
+
+def repaired(rows, convs):
+    """{conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256)} of damaged rows."""
+    of = {c: [] for c in convs}
+    for conv, turn, role, text in rows:
+        of[conv].append((turn is not None, turn or 0, role, hashlib.sha256(text.encode()).digest(), text))
+    out = {}
+    for conv, found in of.items():
+        found.sort()
+        turns = [t for given, t, *_ in found if given]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        seen, marks, faults = set(), [], Counter()
+        for _, _, role, _, text in found:
+            ink = text.rstrip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not ink else "duplicate" if (role, text) in seen else "truncated" if ink[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faults[fault] += 1
+            marks.append((role[:1], fault in ("blank", "duplicate"), fault == "truncated"))
+        illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(marks, marks[1:]))
+        cost, audit = cheapest(marks)
+        lines, state, at = [], "", 0
+        for e in audit:
+            wanted = "a" if state == "u" else "u"
+            if e in "RI":
+                state = wanted
+                lines.append(("user:" if state == "u" else "assistant:") + (found[at][4] if e == "R" else ""))
+            elif e == "K":
+                state = found[at][2][:1]
+                lines.append(f"{found[at][2]}:{found[at][4]}")
+            at += e != "I"
+        sha = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out[conv] = (gaps, faults["blank"], faults["duplicate"], faults["truncated"], illegal, cost, audit, sha)
+    return out
+
+
+def ranked(docs, items, top=50):
+    """[(item_id, rank, doc_id, score)] of (doc_id, text) and (item_id, text) rows."""
+    def terms(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    counted = [(d, Counter(terms(t))) for d, t in docs]
+    counted = [(d, c) for d, c in counted if c]
+    n_docs, length = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    asked = defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(terms(t))
+    out = []
+    for i, wanted in asked.items():
+        found = []
+        for d, c in counted:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // length
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+                        for t in wanted if t in c)
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        out += [(i, k + 1, None if null else d, -s) for k, (s, null, d) in enumerate(sorted(found)[:top])]
+    return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_style_tree, langid, minhash, mixing, quality, repeats, token_counts, token_files, urls
+from . import (byte_bpe, conversations, decontam, html_style_tree, langid, minhash, mixing, quality, repeats, search, token_counts,
+               token_files, urls)
 from .queries_sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,21 @@ def op9_token_counts(spark, sf_dir):
 def op10_mix_to_targets(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+@query
+def op11_repair_conversations(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+@query
+def op12_shared_search(spark, sf_dir):
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_recursive_bpe(spark, sf_dir):
+    coded = byte_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -97,4 +97,21 @@ SELECT doc_id, d.topic, n_tokens, round(least(1.0, ratio * scale), 6) AS probabi
 FROM d JOIN r ON {using}, s{mixing.STEPS}"""
 
 
-ORACLES = {"op4_quality_rules": OP4, "op8_decontamination": OP8, "op10_mix_to_targets": _mix_sql()}
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_NORM)
+
+OP12 = rf"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT DISTINCT t FROM q),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) JOIN asked USING (t) GROUP BY r, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY t, docs),
+part AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS s
+         FROM tf JOIN sizes USING (r) JOIN weights USING (t), whole),
+total AS (SELECT item_id, r, sum(s)::BIGINT AS score FROM q JOIN part USING (t) GROUP BY item_id, r HAVING sum(s) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM total JOIN sizes USING (r) QUALIFY rank <= 50"""
+
+ORACLES = {"op4_quality_rules": OP4, "op8_decontamination": OP8, "op10_mix_to_targets": _mix_sql(),
+           "op12_shared_search": OP12}
