@@ -269,10 +269,36 @@ def test_pieces_survive_a_full_memory(monkeypatch):
 
     monkeypatch.setattr(tokens, "MEMO_PIECES", 50)
     monkeypatch.setattr(tokens, "BATCH_BYTES", 200)
-    lib, enc = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path(), tokens._bytes, tokens._one)
+    lib, enc = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path(), "ids")
     texts = [*TRICKY, LONG[:5000], "word, word. other", LONG[:300]]
     for t, v in zip(texts, enc.values(texts)):
-        assert np.frombuffer(b"".join(v), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(v, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_made_of_parts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    some = ["a", "B", " ", "\n", ".", "'", "s", "é", "ß", "×", "ª", "²", "1", "-", "<|endoftext|>", "<|", "中", "\u00a0", "\t", "ll", "\x00", "ǅ"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randrange(30))) for _ in range(5000)] + ["a.\n" * 20_000]
+    lib, path = Tokenizer.from_file(tokens.tokenizer_path()), tokens.tokenizer_path()
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(v, "<u4").tolist() for v in tokens.Encoder(path, "ids").values(texts)] == want
+    assert list(tokens.Encoder(path, "count").values(texts)) == list(map(len, want))
+
+
+def test_other_tokenizer_files_get_whole_texts(spark, edge):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    word, piece = tokens.tokenizer_path("word_bpe_49k.json"), tokens.tokenizer_path("piece_bpe_32k.model")
+    assert tokens.is_plain_byte_level(tokens.tokenizer_path()) and not tokens.is_plain_byte_level(word)
+    for path, ids in ((word, lambda t, x=Tokenizer.from_file(word): x.encode(t, add_special_tokens=False).ids),
+                      (piece, sentencepiece.SentencePieceProcessor(model_file=piece).encode)):
+        for r in token_counts.count_tokens(edge, path).collect():
+            assert r["n_tokens"] == len(ids(r["text"] or ""))
+        texts = [t for t in TRICKY if t]
+        assert [np.frombuffer(v, "<u4").tolist() for v in tokens.encoder(path, "ids").values(texts)] == [ids(t) for t in texts]
 
 
 def test_token_files_round_trip(spark, edge, empty, tmp_path):

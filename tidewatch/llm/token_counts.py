@@ -28,7 +28,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, "count")
         for texts in batches:
-            yield pa.array([sum(v) for v in enc.values([t or "" for t in texts.to_pylist()])], pa.int64())
+            yield pa.array(list(enc.values([t or "" for t in texts.to_pylist()])), pa.int64())
 
     return F.arrow_udf(count, "long")(text)
 

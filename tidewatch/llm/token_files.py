@@ -150,9 +150,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 files.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 sink = files.open_output_stream(at)
                 out = TokenWriter(sink)
-            for doc_id, pieces in zip(ids, enc.values([t or "" for t in batch.column(1).to_pylist()])):
-                pieces.append(end)
-                out.add(doc_id, b"".join(pieces))
+            for doc_id, packed in zip(ids, enc.values([t or "" for t in batch.column(1).to_pylist()])):
+                out.add(doc_id, packed + end)
         if out is not None:
             out.close()
             sink.close()

@@ -2,31 +2,46 @@
 
 A byte-level BPE pre-tokenizer never joins characters across a blank that stands between two
 non-blank characters: the token before it ends there and the next one starts with that blank. Such
-blanks are *safe boundaries*. Texts of any length are cut there into pieces, and only the distinct
-pieces of a batch that the worker has not met before are encoded by the library, in groups balanced
+blanks are *safe boundaries*. Texts of any length are cut there into pieces, Arrow numbers a batch's distinct
+pieces, and only those that the worker does not remember are encoded by the library, in groups balanced
 by bytes. A text's tokens are its pieces' tokens in order, so results equal encoding it whole
 (special strings contain no blank and stay inside one piece). A text without a safe boundary is
 one piece.
+
+What is said of byte-level BPE is checked against the tokenizer file. Files of any other kind, sentencepiece
+models (.model) among them, are given whole texts, in batches balanced by bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_PIECES = 600_000  # bound on what a worker remembers; beyond it the memory starts anew
-GROUP_CHARS = 1 << 16  # length of a joined text
-BATCH_BYTES = 4 << 20  # text handled at once
+MEMO_PIECES = 600_000  # bound on what a worker remembers: two halves, of which the older goes when the newer is full
+GROUP_BYTES = 1 << 16  # length of a joined text
+BATCH_BYTES = 8 << 20  # text handled at once
 
 _BLANK = "\u0120"  # how byte-level vocabularies write a blank
 # ASCII white space but blank and newline; how the other white space starts in UTF-8
 _RARE = bytes([*range(9, 10), *range(11, 14), *range(28, 32)])
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+# how byte-level vocabularies write the bytes (given as characters 0-255): printing ones as they are, the others from 256 on
+_PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTING)}
+# pieces without white space but single line breaks and without apostrophes (which may join letters), and their parts
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN = re.compile(f"[{_LETTERS}]+")
+_INK = rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+"
+_PARTED = re.compile(rf"{_INK}(?:\n{_INK})*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]+|\n|[^{_LETTERS}0-9\n]+")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -54,8 +69,8 @@ def split_safe(text: str) -> list[str]:
 
 
 def by_bytes(texts: list[str], limit: int) -> Iterator[list[str]]:
-    """Consecutive groups of about `limit` characters; a longer text ends the group it is in."""
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    """Consecutive groups of about `limit` bytes; a longer text ends the group it is in."""
+    ends = np.cumsum(np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts)))
     a = 0
     while a < len(texts):
         b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit)) + 1
@@ -63,79 +78,146 @@ def by_bytes(texts: list[str], limit: int) -> Iterator[list[str]]:
         a = b
 
 
-class Encoder:
-    """Encodes pieces once and remembers a bounded number of them.
+def is_plain_byte_level(path: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE of the kind that safe boundaries and joined pieces hold for."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    special = [t for t in spec.get("added_tokens") or () if any(c.isspace() for c in t["content"]) or t.get("lstrip")
+               or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    return (pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
+            and spec.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+            and not special)
+
+
+class WholeEncoder:
+    """Encodes whole texts with the file's library, in batches balanced by bytes."""
 
-    `form` turns the ids of many pieces (a numpy array) and the pieces' offsets into their values.
-    """
+    def __init__(self, path: str, kind: str):
+        self.kind = kind
+        if path.endswith(".model"):
+            import sentencepiece
 
-    def __init__(self, path: str, form, form_one):
+            tok = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.batch = lambda texts: tok.encode(texts, num_threads=1)
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            self.batch = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def values(self, texts: list[str]) -> Iterator:
+        for group in by_bytes(texts, BATCH_BYTES):
+            for ids in self.batch(group):
+                yield len(ids) if self.kind == "count" else _packed(ids)
+
+
+class Encoder:
+    """Encodes pieces once and remembers a bounded number of them, each as its `count` or its `ids`."""
+
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.starts[[i for t, i in vocab.items() if t.startswith(_BLANK)]] = True
-        self.model, self.form, self.form_one = self.tok.model, form, form_one
-        self.memo, self.first = {}, {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.model, self.kind = self.tok.model, kind
+        self.form, self.form_one = (_counts, len) if kind == "count" else (_bytes, _packed)
+        self.new, self.old = {}, {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict, pieces: set, lead: str) -> None:
-        """Values of pieces that each follow `lead` (a blank, or nothing for the start of a text)."""
-        rest = []
+    def _learn(self, pieces) -> None:
+        """Values of pieces. A piece that starts with a blank is the start of a text, written behind that blank; before
+        any other piece stands a blank of the text."""
+        new, form_one, tokenize, rest = self.new, self.form_one, self.model.tokenize, []
         for p in pieces:
-            if lead and p.isascii() and p.isalpha():  # one pre-token, written in the vocabulary as it is
-                memo[p] = self.form_one([t.id for t in self.model.tokenize(_BLANK + p)])
+            lead, word = ("", p[1:]) if p[:1] == " " else (_BLANK, p)
+            if word.isascii() and word.isalpha():  # one pre-token, written in the vocabulary as it is
+                new[p] = form_one([t.id for t in tokenize(lead + word)])
+            elif _LATIN.fullmatch(word):  # as well
+                new[p] = form_one([t.id for t in tokenize(lead + word.encode().decode("latin-1").translate(_WRITTEN))])
             else:
-                rest.append(p)
-        joined = [p for p in rest if lead and p and p.isprintable() and " " not in p]
-        for group in by_bytes(joined, GROUP_CHARS):
-            (ids,) = self._encode([lead + lead.join(group)])
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) != len(group):
-                raise ValueError("this tokenizer does not start a token at every blank")
-            memo.update(zip(group, self.form(ids, np.append(at, len(ids)))))
-        for group in by_bytes(list(set(rest).difference(joined)), GROUP_CHARS):
-            found = self._encode([lead + p for p in group])
-            memo.update(zip(group, self.form(np.concatenate(found), np.cumsum([0, *map(len, found)]))))
-
-    def _compose(self, new: set) -> set:
-        """Missing words that end in points or commas: a letter and a mark never share a token, so the
-        value is the word's and the marks' together (counts add up, ids follow each other)."""
-        marks, need = {}, set()
-        for p in new:
-            word = p.rstrip(".,")
-            if len(word) < len(p) and word.isascii() and word.isalpha():
-                marks[p] = (word, p[len(word):])
-                if word not in self.memo:
-                    need.add(word)
+                rest.append((p, word if not lead else " " + p))
+        for group in by_bytes([text for _, text in rest], GROUP_BYTES):
+            found = self._encode(group)
+            names, rest = [p for p, _ in rest[:len(group)]], rest[len(group):]
+            new.update(zip(names, self.form(np.concatenate(found), np.cumsum([0, *map(len, found)]))))
+
+    def _compose(self, missing: list[str]) -> None:
+        """Learn pieces; those of Latin letters, digits, marks and single line breaks as what they are made of: tokens
+        never span two of these kinds (counts add up, ids follow each other)."""
+        made, need = {}, set()
+        for p in missing:
+            if p[:1] != " " and not _LATIN.fullmatch(p) and _PARTED.fullmatch(p) and not any(t in p for t in self.special):
+                first, *more = _PARTS.findall(p)
+                made[p] = parts = [first, *(" " + x for x in more)]
+                need.update(x for x in parts if x not in self.new)
             else:
                 need.add(p)
-        self._learn(self.first, {m for _, m in marks.values()}.difference(self.first), "")
-        self._learn(self.memo, need, " ")
-        self.memo.update((p, self.memo[w] + self.first[m]) for p, (w, m) in marks.items())
+        self._learn(need)
+        new = self.new
+        if self.kind == "count":
+            new.update((p, sum(map(new.__getitem__, parts))) for p, parts in made.items())
+        else:
+            new.update((p, b"".join(map(new.__getitem__, parts))) for p, parts in made.items())
+
+    def _of_pieces(self, pieces: list[str]) -> list:
+        """Values of distinct pieces, in their order."""
+        if len(self.new) > MEMO_PIECES // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = list(map(new.get, pieces))
+        missing = []
+        for p in [p for p, v in zip(pieces, found) if v is None]:
+            if (v := old.get(p)) is None:
+                missing.append(p)
+            else:
+                new[p] = v
+        self._compose(missing)
+        return [new[p] if v is None else v for p, v in zip(pieces, found)]
 
-    def values(self, texts: list[str]) -> Iterator[list]:
-        """Per text the values of its pieces, in order."""
+    def values(self, texts: list[str]) -> Iterator:
+        """Per text its number of tokens, or its ids as little-endian unsigned 32-bit integers."""
         for group in by_bytes(texts, BATCH_BYTES):
-            cut = [split_safe(t) for t in group]
-            found = [list(map(self.memo.get, c)) for c in cut]  # what stands first is looked up apart, below
-            new = {p for c, v in zip(cut, found) if None in v for p, x in zip(c, v) if x is None}
-            heads = {c[0] for c in cut}
-            if len(self.memo) + len(new) > MEMO_PIECES or len(self.first) + len(heads) > MEMO_PIECES:
-                self.memo, self.first = {}, {}
-            self._compose(new)
-            self._learn(self.first, heads.difference(self.first), "")
-            for c, v in zip(cut, found):
-                if None in v:
-                    v = [x if x is not None else self.memo[p] for p, x in zip(c, v)]
-                v[0] = self.first[c[0]]
-                yield v
+            coded, order, ends, firsts = self._cut(group)
+            names = coded.dictionary.to_pylist()
+            codes = coded.indices.to_numpy().copy()
+            heads = {" " + f: len(names) + k for k, f in enumerate(dict.fromkeys(firsts))}  # no other piece starts with a blank
+            codes[ends[:-1]] = [heads[" " + f] for f in firsts]
+            found = self._of_pieces([*names, *heads])
+            if self.kind == "count":
+                sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[codes])])
+                out = np.diff(sums[ends]).tolist()
+            else:
+                laid = pa.array(found, pa.large_binary()).take(pa.array(codes))
+                at = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[ends].tolist()
+                raw = laid.buffers()[2].to_pybytes() if at[-1] else b""
+                out = [raw[a:b] for a, b in zip(at, at[1:])]
+            yield from map(out.__getitem__, order)
+
+    def _cut(self, texts: list[str]):
+        """The numbered pieces of texts, plain ones (cut by Arrow) first: (pieces, each text's place, where texts' pieces
+        start, the texts' first pieces)."""
+        plain = [_plain(t) for t in texts]
+        lists = pc.split_pattern(pa.array([t for t, x in zip(texts, plain) if x], pa.string()), " ")
+        rest = [split_safe(t) for t, x in zip(texts, plain) if not x]
+        parts = [lists.flatten(), pa.array([p for r in rest for p in r], pa.string())]
+        sizes = np.concatenate([np.diff(lists.offsets.to_numpy()), np.array([len(r) for r in rest], np.int64)])
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        pieces = pa.concat_arrays(parts)
+        place, at = [], [0, len(lists)]
+        for x in plain:
+            place.append(at[not x])
+            at[not x] += 1
+        return pieces.dictionary_encode(), place, ends, pieces.take(pa.array(ends[:-1])).to_pylist()
 
 
 def _counts(ids: np.ndarray, at: np.ndarray) -> list[int]:
@@ -147,15 +229,16 @@ def _bytes(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
 
-def _one(ids: list[int]) -> bytes:
+def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()  # little-endian on every platform that Spark runs on
 
 
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str):
     """The worker's encoder for a file: `count` gives lengths, `ids` little-endian unsigned 32-bit ids."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, *{"count": (_counts, len), "ids": (_bytes, _one)}[kind])
+        plain = path.endswith(".json") and is_plain_byte_level(path)
+        _ENCODERS[path, kind] = (Encoder if plain else WholeEncoder)(path, kind)
     return _ENCODERS[path, kind]
