@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .tokens import split_safe, tokenizer_path
 
 RANKS = "byte_bpe_50k.tiktoken"
-SLICE_CHARS, GROUP_IDS = 4 << 20, 1 << 20  # text and ids handled at once
-KNOWN = 1_000_000  # words that a worker remembers; beyond it the memory starts anew
-START_ROWS = 1 << 19  # bytes (first rows) of the words in one recursive query
+SLICE_CHARS, GROUP_IDS = 2 << 20, 1 << 19  # text and ids handled at once
+KNOWN = 800_000  # words that a worker remembers; beyond it the memory starts anew
+START_ROWS = 1 << 18  # bytes (first rows) of the words in one recursive query
 LONG_WORD = 64
-LEAST_ROUNDS, ROUND_ROWS = 4, 1 << 23  # rounds of a query: so many, or more while their rows stay below this
+LEAST_ROUNDS, ROUND_ROWS = 4, 1 << 22  # rounds of a query: so many, or more while their rows stay below this
 
 _STEP = """
 WITH RECURSIVE step(w, p, id, n) AS (
@@ -91,7 +91,7 @@ class Codec:
         self.cut, self.safe = regex.compile(pattern), regex.compile(r"(?<=\S)(?= \S)")
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.known = 0
         # bytes as characters 0-255, so that SQL can cut and join them
         self._table("given", piece=[k.decode("latin-1") for k in ranks], id=pa.array(ranks.values(), pa.int32()))
