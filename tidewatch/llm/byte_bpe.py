@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import split_safe, tokenizer_path
+from .worker import held
 
 RANKS = "byte_bpe_50k.tiktoken"
 SLICE_CHARS, GROUP_IDS = 2 << 20, 1 << 19  # text and ids handled at once
@@ -246,14 +247,9 @@ class Codec:
             out[k].append(text.encode("latin-1"))
 
 
-_CODECS: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec for a rank file."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return held(("byte_bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encoded(text: Column, path: str | None = None, pattern: str | None = None) -> Column:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import Same, held
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
@@ -67,12 +69,9 @@ def pattern_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[
         yield block
 
 
-_BUILT: dict = {}
-
-
 def _automaton(patterns):
-    """The automaton of a broadcast block, built once in a worker (the last one is kept)."""
-    if _BUILT.get("patterns") is not patterns:
+    """The automaton of a broadcast block, built once in a worker."""
+    def build():
         import ahocorasick
 
         a = ahocorasick.Automaton()
@@ -80,8 +79,9 @@ def _automaton(patterns):
             a.add_word(f" {p.encode().decode('latin-1')} ", (k, n))
         if patterns:
             a.make_automaton()
-        _BUILT.update(patterns=patterns, automaton=a)
-    return _BUILT["automaton"]
+        return a
+
+    return held(Same("patterns", patterns), build)
 
 
 def scan_text(text: str | None, automaton, patterns) -> dict:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import cut_lineage
 
 from .components import components
+from .worker import held
 
 WORDS = 5
 PERMUTATIONS = 64
@@ -54,6 +55,7 @@ def _random(seed: int, n: int) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
+    held("powers", dict)  # lets go what another operator kept
     if len(_tables.get("up", ())) < n:
         n = max(n, 2 * UNIT_BYTES)
         base = int(_random(1, 1)[0]) | 1

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
+from .worker import Same, held
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,14 +69,9 @@ def count_terms(text: str | None, number: dict) -> tuple[int, Counter]:
     return n, counts
 
 
-_NUMBERS: dict = {}
-
-
 def _numbers(terms) -> dict:
-    """The numbers of a broadcast list of terms, made once in a worker (the last one is kept)."""
-    if _NUMBERS.get("terms") is not terms:
-        _NUMBERS.update(terms=terms, number={t.encode(): k for k, t in enumerate(terms)})
-    return _NUMBERS["number"]
+    """The numbers of a broadcast list of terms, made once in a worker."""
+    return held(Same("terms", terms), lambda: {t.encode(): k for k, t in enumerate(terms)})
 
 
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:

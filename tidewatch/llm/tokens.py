@@ -14,6 +14,7 @@ models (.model) among them, are given whole texts, in batches balanced by bytes.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .worker import held
+
 TOKENIZER = "byte_bpe_50k.json"
 MEMO_PIECES = 600_000  # bound on what a worker remembers: two halves, of which the older goes when the newer is full
 GROUP_BYTES = 1 << 16  # length of a joined text
@@ -38,7 +41,6 @@ _PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _WRITTEN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTING)}
 # pieces without white space but single line breaks and without apostrophes (which may join letters), and their parts
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_LATIN = re.compile(f"[{_LETTERS}]+")
 _INK = rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+"
 _PARTED = re.compile(rf"{_INK}(?:\n{_INK})*")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]+|\n|[^{_LETTERS}0-9\n]+")
@@ -134,55 +136,55 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces) -> None:
-        """Values of pieces. A piece that starts with a blank is the start of a text, written behind that blank; before
-        any other piece stands a blank of the text."""
-        new, form_one, tokenize, rest = self.new, self.form_one, self.model.tokenize, []
-        for p in pieces:
-            lead, word = ("", p[1:]) if p[:1] == " " else (_BLANK, p)
-            if word.isascii() and word.isalpha():  # one pre-token, written in the vocabulary as it is
-                new[p] = form_one([t.id for t in tokenize(lead + word)])
-            elif _LATIN.fullmatch(word):  # as well
-                new[p] = form_one([t.id for t in tokenize(lead + word.encode().decode("latin-1").translate(_WRITTEN))])
-            else:
-                rest.append((p, word if not lead else " " + p))
-        for group in by_bytes([text for _, text in rest], GROUP_BYTES):
-            found = self._encode(group)
-            names, rest = [p for p, _ in rest[:len(group)]], rest[len(group):]
-            new.update(zip(names, self.form(np.concatenate(found), np.cumsum([0, *map(len, found)]))))
-
-    def _compose(self, missing: list[str]) -> None:
-        """Learn pieces; those of Latin letters, digits, marks and single line breaks as what they are made of: tokens
-        never span two of these kinds (counts add up, ids follow each other)."""
-        made, need = {}, set()
-        for p in missing:
-            if p[:1] != " " and not _LATIN.fullmatch(p) and _PARTED.fullmatch(p) and not any(t in p for t in self.special):
-                first, *more = _PARTS.findall(p)
-                made[p] = parts = [first, *(" " + x for x in more)]
-                need.update(x for x in parts if x not in self.new)
-            else:
-                need.add(p)
-        self._learn(need)
-        new = self.new
-        if self.kind == "count":
-            new.update((p, sum(map(new.__getitem__, parts))) for p, parts in made.items())
-        else:
-            new.update((p, b"".join(map(new.__getitem__, parts))) for p, parts in made.items())
+    def _one(self, lead: str, word: str):
+        """The value of a single pre-token."""
+        if not word.isascii() or word == "\n":
+            word = word.encode().decode("latin-1").translate(_WRITTEN)
+        return self.form_one([t.id for t in self.model.tokenize(lead + word)])
+
+    def _value(self, piece: str):
+        """The value of a piece, or none if only the library can tell it. A piece that starts with a blank is the
+        start of a text, written behind that blank; before any other piece stands a blank of the text."""
+        if (value := self.new.get(piece)) is None:
+            if (value := self.old.get(piece)) is None and (value := self._make(piece)) is None:
+                return None
+            self.new[piece] = value
+        return value
+
+    def _make(self, piece: str):
+        """A piece of Latin letters, digits, marks and single line breaks is put together from these: a token never spans
+        two kinds, so counts add up and ids follow each other."""
+        lead, word = ("", piece[1:]) if piece[:1] == " " else (_BLANK, piece)
+        if word.isascii() and word.isalpha() or word == "\n" and not lead:
+            return self._one(lead, word)
+        if not _PARTED.fullmatch(word) or any(t in word for t in self.special):
+            return None
+        first, *more = _PARTS.findall(word)
+        if not more:
+            return self._one(lead, word)
+        value = self._value(first if lead else " " + first)
+        for part in more:
+            value += self._value(" " + part)
+        return value
 
     def _of_pieces(self, pieces: list[str]) -> list:
         """Values of distinct pieces, in their order."""
         if len(self.new) > MEMO_PIECES // 2:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        found = list(map(new.get, pieces))
-        missing = []
-        for p in [p for p, v in zip(pieces, found) if v is None]:
-            if (v := old.get(p)) is None:
-                missing.append(p)
+        found = list(map(self.new.get, pieces))
+        rest, value = [], self._value
+        for k in [k for k, v in enumerate(found) if v is None]:
+            if (v := value(pieces[k])) is None:
+                rest.append(k)
             else:
-                new[p] = v
-        self._compose(missing)
-        return [new[p] if v is None else v for p, v in zip(pieces, found)]
+                found[k] = v
+        texts = [pieces[k][1:] if pieces[k][:1] == " " else " " + pieces[k] for k in rest]
+        for group in by_bytes(texts, GROUP_BYTES):
+            ids = self._encode(group)
+            for k, v in zip(rest, self.form(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))):
+                self.new[pieces[k]] = found[k] = v
+            rest = rest[len(group):]
+        return found
 
     def values(self, texts: list[str]) -> Iterator:
         """Per text its number of tokens, or its ids as little-endian unsigned 32-bit integers."""
@@ -192,7 +194,13 @@ class Encoder:
             codes = coded.indices.to_numpy().copy()
             heads = {" " + f: len(names) + k for k, f in enumerate(dict.fromkeys(firsts))}  # no other piece starts with a blank
             codes[ends[:-1]] = [heads[" " + f] for f in firsts]
-            found = self._of_pieces([*names, *heads])
+            collecting = gc.isenabled()
+            gc.disable()  # many small objects come and none goes in circles
+            try:
+                found = self._of_pieces([*names, *heads])
+            finally:
+                if collecting:
+                    gc.enable()
             if self.kind == "count":
                 sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[codes])])
                 out = np.diff(sums[ends]).tolist()
@@ -233,12 +241,7 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()  # little-endian on every platform that Spark runs on
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, kind: str):
     """The worker's encoder for a file: `count` gives lengths, `ids` little-endian unsigned 32-bit ids."""
-    if (path, kind) not in _ENCODERS:
-        plain = path.endswith(".json") and is_plain_byte_level(path)
-        _ENCODERS[path, kind] = (Encoder if plain else WholeEncoder)(path, kind)
-    return _ENCODERS[path, kind]
+    plain = lambda: path.endswith(".json") and is_plain_byte_level(path)
+    return held(("tokens", path, kind), lambda: (Encoder if plain() else WholeEncoder)(path, kind))
