@@ -58,11 +58,53 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     by = {r["page_id"]: r for r in got}
     assert by[3]["text"] == "Title 3 & more\nFirst part bold 3\nSecond <3> line"  # the repeated block went too
     assert by[99]["text"] == by[98]["text"] == "" and by[97]["text"] == "a\nbc d" and by[97]["n_chars"] == 6
-    few = html_style_tree.extract(df.where("page_id < 5")).collect()  # too few pages to judge a block by its host
-    assert {r["text"].endswith("Read our paper") for r in few} == {True}
     assert html_style_tree.extract(df.where("false")).count() == 0
 
 
+def test_style_tree_judges_hosts_of_any_size(spark):
+    """Hosts of 2, 9, 10 and 30 pages, with classes and ids of each page's own: what all pages repeat goes, the rest stays."""
+    page = ("<html><body class='postid-{n} page-{n}' id='p{n}'><div class='wrap w{n}'><div class='box'>Only on Sundays</div>"
+            "<div class='text t{n}'><p>Story {n} of {h}</p><p>Half {half}</p></div></div></body></html>")
+    rows = [(1000 * h + n, f"http://h{h}.example/{n}", page.format(n=n, h=h, half=n // 2)) for h in (1, 2, 9, 10, 30) for n in range(h)]
+    got = html_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h, n = divmod(r["page_id"], 1000)
+        if h == 1:  # nothing to compare with
+            assert r["text"] == f"Only on Sundays\nStory {n} of {h}\nHalf {n // 2}"
+        else:
+            assert "Sundays" not in r["text"] and f"Story {n} of {h}" in r["text"]
+        assert h < 9 or r["text"] == f"Story {n} of {h}\nHalf {n // 2}"
+
+
+def test_style_tree_importance_equals_a_plain_count(spark):
+    """The aggregates against their definition, on a few pages of one host."""
+    from math import log
+
+    html = ["<div class='a'>x</div><div class='b'>1</div>", "<div class='a'>x</div><div class='b'>2</div>", "<div class='a'>y</div><p>q</p>"]
+    pages = spark.createDataFrame([(bytes([k]), "h", h) for k, h in enumerate(html)], "page binary, host string, html string")
+    nodes = pages.mapInArrow(html_style_tree._style_nodes, html_style_tree._NODES).selectExpr("page", "host", "inline(nodes)")
+    got = {r["node"]: (r["pages"], r["importance"]) for r in html_style_tree.importance(nodes).collect()}
+    a = html_style_tree.hash_of("0>div.a")
+    assert got[a][0] == 3 and abs(got[a][1] - (1 - (log(2) + log(1)) / 2 / log(3.25))) < 1e-9
+    assert abs(got[html_style_tree.hash_of("0>div.b")][1] - 1) < 1e-9 and got[html_style_tree.hash_of("0>p")] == (1, 1.0)
+
+
+def test_long_named_parts_and_comment_articles_go():
+    text = html_style_tree.main_text
+    words, many = "a short post", "<p>" + "said " * 200 + "</p>"
+    for part in ("<div id='comments'>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<nav>{}</nav>", "<div class='cookie-notice'>{}</div>"):
+        for body in (f"<article>{words}</article>", f"<div><p>{words}</p></div>", f"<main><div>{words}</div></main>"):
+            assert text(f"<body>{body}{part.format(many)}</body>") == words
+            assert text(f"<body>{part.format(many)}{body}</body>") == words
+    answer = "<article class='comment'><p>" + "I think " * 50 + "</p></article>"
+    assert text(f"<article><p>{words}</p>{answer}{answer}</article>") == words
+    assert text(f"<article><p>{words}</p><section id='comments'>{answer.replace(' class=', ' data-x=')}</section></article>") == words
+    assert text(f"<div class='has-sidebar'><article>{words}</article></div><article>x</article>") == f"{words}\nx"
+    deep = "<div>" * 3000 + words + "</div>" * 3000
+    assert text(deep) == words and text("<p>" + "long " * 200_000 + "</p>") == ("long " * 200_000).strip()
+
+
 def test_names_do_not_drop_an_article_or_most_of_the_text():
     text, words = html_style_tree.main_text, "one two three four five six"
     side = "<div class='sidebar'>links</div>"

@@ -1,24 +1,27 @@
 """Main text of web pages with a site style tree per host.
 
 Pass 1 parses every page into a DOM of the parts that may hold content and emits its *style nodes*:
-a node is the path of tags, classes and ids from the root, so the DOMs of a host merge where their
-paths agree. For every node of a host, over its distinct pages:
+a node is the path from the root of tags and class words without digits (html, body, article and main by their
+tag alone), so the DOMs of a host merge where their paths agree, whatever ids, numbers or page names the
+classes carry. For every node of a host, over its distinct pages:
 
-- content importance of a block: 1 - mean over its distinct texts of log(pages with the text) / log(pages);
-  a text that every page repeats weighs 0, a text of one page 1;
+- content importance of a block: 1 - mean over its distinct texts of log(pages with the text) / log(pages + SMOOTH);
+  a text that every page repeats weighs about 0 (the less so, the fewer the pages), a text of one page 1;
 - presentation importance of an element: the entropy (base: pages) of its pages' child sequences;
 - composite importance: (1 - GAMMA^l) * presentation + GAMMA^l * mean content importance of the
   blocks below it, for l children on average.
 
-Nodes seen on `MIN_PAGES` pages or more with an importance under `THRESHOLD` are low. Pass 2 parses
-each page again and leaves out the branches that are low on its host; if nothing at all remained,
+Every node that two pages or more share is judged alike, on hosts of any size: under `THRESHOLD` it is low. Pass 2
+parses each page again and leaves out the branches that are low on its host; if nothing at all remained,
 the page keeps them (a host that serves one text everywhere).
 
-Many navigation bars, adverts and footers differ from page to page, so entropy alone cannot tell
-them from content: branches whose tag, role, class or id names such a part are left out in both
-passes, unless they hold an <article> or <main> or most of the page's text (a name is evidence,
-weighed with the share of the text). Where <article> and <main> hold most of the remaining text,
-content is looked for there only.
+Many navigation bars, adverts and footers differ from page to page, so entropy alone cannot tell them from
+content: branches whose tag, role, class or id names such a part are left out in both passes, however long they
+are, unless they hold the page's <main>, or its article (no article stands outside of such branches, or
+shorter ones only; in comments none does). An article or main that is named a comment is one. A form that holds
+most of the text of a page without article or main is the page's frame. If nothing else is there, the
+branch with most of the text stays, or all of them. Where <article> and <main> hold most of the remaining
+text, content is looked for there only.
 
 Statistics are aggregated partially before each shuffle (a host may hold a third of all pages).
 Only node hashes travel; a page's list of low nodes is bounded by its own DOM.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import checkpoint_dir
 
 GAMMA = 0.9
-MIN_PAGES = 10
+SMOOTH = 0.25  # added to a node's pages, so that a text on both of two pages weighs 0.15
 THRESHOLD = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,20 +66,35 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar side footer foot masthead topbar cookie cookies consent gdpr notice alert popup modal "
     "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "disqus reply replies respond widget toolbar pagination pager legal copyright disclaimer hidden".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def _words(attrs: dict) -> set[str]:
+    """The words of an element's classes and id."""
+    return {w.lower() for w in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+
+
+def _style(tag: str, attrs: dict) -> str:
+    """What an element is called in paths: its tag and classes, without numbers."""
+    if tag in ("html", "body", *MAIN):
+        return tag
+    return ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in (attrs.get("class") or "").split()})])
+
+
 def _named(tag: str, attrs: dict, in_main: bool) -> bool:
     """A part that is rarely the page's text, by its tag, role, class, id or a mark that hides it."""
     if tag in PARTS or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
     if (attrs.get("role") or "").strip().lower() in ROLES or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
         return True
-    if tag in ("html", "body", *MAIN):
+    if tag in ("html", "body"):
         return False
     if tag == "header" and not in_main:
         return True
-    names = {w.lower() for w in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+    names = _words(attrs)
+    if tag in MAIN:
+        return bool(names & COMMENTS)
     return bool(names & NAMES) or (not in_main and "header" in names)
 
 
@@ -88,11 +106,13 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, tuple]] = []  # tag, node, is it dropped (or inside), named branches it is in
+        # tag, node, is it dropped (or inside), named branches it is in, is it the page's article or main
+        self.open: list[tuple[str, int, bool, tuple, bool]] = []
         self.n_main = 0
         self.blocks: list[tuple[int, list, bool, tuple]] = []  # node, parts, inside of article or main, ancestors
         self.children: dict[int, list[tuple[int, tuple]]] = {}
-        self.vouched: list[bool] = []  # per named branch: does it hold an article or main
+        self.branches: list[dict] = []  # named branches: kind, and whether they hold an article or a main
+        self.free_main = False  # an article or main stands outside of them
         self.parts: list[tuple[str, tuple]] = []  # text, named branches it is in
         self.feed(html)
         self.close()
@@ -110,7 +130,7 @@ class Page(HTMLParser):
         """Close the open elements from the k-th on."""
         if any(o[0] in BLOCKS for o in self.open[k:]):
             self._flush()
-        self.n_main -= sum(o[0] in MAIN for o in self.open[k:])
+        self.n_main -= sum(o[4] for o in self.open[k:])
         del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -129,19 +149,23 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         attrs = dict(attrs)
-        _, parent, dropped, named = self.open[-1] if self.open else ("", 0, False, ())
+        _, parent, dropped, named, _ = self.open[-1] if self.open else ("", 0, False, (), False)
         dropped = dropped or tag in DROPPED
-        if tag in MAIN and not dropped:
+        is_named = not dropped and _named(tag, attrs, self.n_main > 0)
+        is_main = tag in MAIN and not dropped and not is_named
+        if is_main:
+            self.free_main = self.free_main or not named
             for k in named:
-                self.vouched[k] = True
-        if not dropped and _named(tag, attrs, self.n_main > 0):
-            named = (*named, len(self.vouched))
-            self.vouched.append(False)
-        node = hash_of(f"{parent}>{tag}.{attrs.get('class') or ''}#{attrs.get('id') or ''}")
+                self.branches[k][tag] = True
+        if is_named:
+            named = (*named, len(self.branches))
+            kind = "comments" if _words(attrs) & COMMENTS else "form" if tag == "form" else ""
+            self.branches.append({"kind": kind, "article": False, "main": False})
+        node = hash_of(f"{parent}>{_style(tag, attrs)}")
         if not dropped:
             self.children.setdefault(parent, []).append((node, named))
-        self.open.append((tag, node, dropped, named))
-        self.n_main += tag in MAIN
+        self.open.append((tag, node, dropped, named, is_main))
+        self.n_main += is_main
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as in browsers: the slash says nothing, void elements have no end
@@ -159,20 +183,32 @@ class Page(HTMLParser):
             self.parts.append((data, self.open[-1][3]))
 
     def _cut(self) -> set[int]:
-        """The named branches to leave out: those without article or main and with half of the text at most (none, if
-        nothing else is there)."""
-        if not self.vouched:
+        """The named branches to leave out (see above)."""
+        if not self.branches:
             return set()
-        total, chars = 0, [0] * len(self.vouched)
-        for _, parts, _, _ in self.blocks:
+        total, free, chars = 0, 0, [0] * len(self.branches)
+        for _, parts, inside, _ in self.blocks:
             for data, named in parts:
                 n = sum(map(len, data.split()))
                 total += n
+                free += n * (inside and not named)
                 for k in named:
                     chars[k] += n
-        out = {k for k, vouched in enumerate(self.vouched) if not vouched and 2 * chars[k] <= total}
-        rest = any(data.strip() and not out.intersection(named) for _, parts, _, _ in self.blocks for data, named in parts)
-        return out if rest else set()
+        any_main = self.free_main or any(b["article"] or b["main"] for b in self.branches)
+
+        def stays(k: int) -> bool:
+            b = self.branches[k]
+            if b["kind"] == "comments":
+                return (b["article"] or b["main"]) and not self.free_main
+            if b["kind"] == "form" and not any_main:
+                return 2 * chars[k] > total
+            return b["main"] or b["article"] and (not self.free_main or chars[k] > free)
+
+        out = {k for k in range(len(self.branches)) if not stays(k)}
+        for less in (out, {k for k in out if 2 * chars[k] <= total}):
+            if any(data.strip() and not less.intersection(named) for _, parts, _, _ in self.blocks for data, named in parts):
+                return less
+        return set()
 
     def kids(self, node: int) -> list[int]:
         """An element's children without the branches left out."""
@@ -231,6 +267,7 @@ def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     counted = nodes.groupBy("host", "kind", "node", "value").agg(F.count("*").alias("n"), F.avg("width").alias("width"))
     texts, shapes, below = (counted.where(F.col("kind") == k) for k in (0, 1, 2))
     log = lambda c: F.log(c.cast("double"))
+    of_pages = lambda c: F.log(c.cast("double") + SMOOTH)
     pages = shapes.groupBy("host", "node").agg(
         F.sum("n").alias("pages"), F.sum(F.col("n") * log(F.col("n"))).alias("nlogn"),
         (F.sum(F.col("n") * F.col("width")) / F.sum("n")).alias("l"))
@@ -238,7 +275,7 @@ def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     pages = pages.select("host", "node", "pages", "l", spread.alias("presentation"))
     content = texts.groupBy("host", "node").agg(F.avg(log(F.col("n"))).alias("mean")).join(pages.select("host", "node", "pages"), ["host", "node"])
     content = content.select("host", F.col("node").alias("value"), F.when(
-        F.col("pages") > 1, 1 - F.col("mean") / log(F.col("pages"))).otherwise(F.lit(1.0)).alias("content"))
+        F.col("pages") > 1, 1 - F.col("mean") / of_pages(F.col("pages"))).otherwise(F.lit(1.0)).alias("content"))
     of_blocks = below.join(content, ["host", "value"]).groupBy("host", "node").agg(
         (F.sum(F.col("n") * F.col("content")) / F.sum("n")).alias("content"))
     weight = F.pow(F.lit(gamma), F.col("l"))
@@ -250,7 +287,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Add text (the page's main text) and n_chars to every page."""
     html = F.coalesce(F.col("html"), F.lit(""))
     host = host_of(F.col("url"))
@@ -260,7 +297,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THR
     folder = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/style-nodes-{uuid.uuid4().hex}"
     nodes.write.parquet(folder)  # compressed, unlike a checkpoint
     nodes = pages.sparkSession.read.schema(_NODES).parquet(folder).select("page", "host", F.inline("nodes"))
-    low = importance(nodes).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "node")
+    low = importance(nodes).where((F.col("pages") > 1) & (F.col("importance") < threshold)).select("host", "node")
     cut = (nodes.where("kind = 1").join(low, ["host", "node"], "left_semi")
            .groupBy("page").agg(F.collect_set("node").alias("_low")).withColumnRenamed("page", "_page"))
 
