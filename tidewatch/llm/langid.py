@@ -9,10 +9,11 @@ order, with a row of log probabilities (one per language) next to every hash.
 Scoring: texts are lower-cased, every run of non-letters becomes one blank, and each character is
 looked up at the highest order that any language has seen, backing off for the others. The language
 of the lowest cross-entropy per character wins. A fifth of the sample stays out of the counts and
-calibrates the rejection: per language and length class (powers of 4 letters) the 0.999 quantile of
-the cross-entropy of one more document, by Student's t from the class's mean and deviation (the
-largest of a few documents would be too low a limit). Documents beyond it are rejected. A class of
-under `CLASS_DOCS` held-back documents is pooled with its nearest ones; a language of under three
+calibrates the rejection by an order statistic (split conformal): at most `SHARE` of a language's own further
+documents are rejected, whatever their distribution. Fewer than 1 / SHARE held-back documents support a share of
+1 / (n + 1) only; there the limit is drawn out by Student's t.
+Cross-entropies are compared with the middle and spread of their length class (powers of 4 letters; a class
+of under `CLASS_DOCS` held-back documents is pooled with its nearest ones); a language of under three
 such documents rejects nothing.
 
 No shuffle of documents: scoring is one Arrow function over whole texts.
@@ -35,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .worker import held
+
 ORDER = 4
 TRAIN_DOCS = 1500  # of each language
-QUANTILE = 0.999
+SHARE = 0.005  # of a language's own documents that may be rejected
 N_CLASSES = 16
 CLASS_DOCS = 10  # held-back documents that a length class is calibrated from, at least
 CHUNK_CHARS = 1 << 17
@@ -233,21 +236,46 @@ def length_class(n_letters) -> np.ndarray:
 
 
 def limits(xent, n_letters) -> np.ndarray:
-    """The calibrated limit of every length class, from a language's held-back documents."""
+    """The calibrated limit of every length class, from a language's held-back documents.
+
+    Cross-entropies are set in relation to the middle and the spread of their length class (with the nearest
+    classes, if it has few documents), and the limit is an order statistic of all of the language's: the
+    ceil((n + 1) * (1 - SHARE))-th smallest, so that a further document of the language exceeds it with a probability of
+    SHARE at most, whatever the distribution. From fewer than 1 / SHARE documents the largest is taken, which supports
+    a share of 1 / (n + 1).
+    """
     x, of = np.asarray(xent, float), length_class(np.asarray(n_letters, float))
     out = np.full(N_CLASSES, np.inf)
     if len(x) < 3:
         return out
-    z = NormalDist().inv_cdf(QUANTILE)
-    for k in range(N_CLASSES):
+    def scale(k: int, x: np.ndarray, of: np.ndarray) -> tuple[float, float]:
         away = np.abs(of - k)
         near = x[away <= np.sort(away)[min(CLASS_DOCS, len(x)) - 1]]
-        free = len(near) - 1
-        t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free**2)
-        out[k] = near.mean() + t * near.std(ddof=1) * np.sqrt(1 + 1 / len(near))
+        return float(np.median(near)), max(float(near.std(ddof=1)) if len(near) > 1 else 0.0, 1e-3)
+
+    apart = []
+    for i in range(len(x)):  # a document is no part of what it is measured by, as a further one would not be
+        middle, spread = scale(of[i], np.delete(x, i), np.delete(of, i))
+        apart.append((x[i] - middle) / spread)
+    rank = int(np.ceil((len(x) + 1) * (1 - SHARE)))
+    limit = np.sort(apart)[min(len(x), rank) - 1]
+    for k in range(N_CLASSES):
+        middle, spread = scale(k, x, of)
+        out[k] = middle + max(limit, _tail(k, x, of) if rank > len(x) else 0.0, 0.0) * spread
     return out
 
 
+def _tail(k: int, x: np.ndarray, of: np.ndarray) -> float:
+    """Where too few documents were held back for the share, none of which may exceed it: Student's t of a further
+    document of the class, in spreads from its middle."""
+    away = np.abs(of - k)
+    near = x[away <= np.sort(away)[min(CLASS_DOCS, len(x)) - 1]]
+    free, spread = len(near) - 1, max(float(near.std(ddof=1)), 1e-3)
+    z = NormalDist().inv_cdf(1 - SHARE / 5)
+    t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free**2)
+    return (float(near.mean()) - float(np.median(near))) / spread + t * np.sqrt(1 + 1 / len(near))
+
+
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
@@ -279,6 +307,7 @@ def sample(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
 def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> Model | None:
     """Models of every language of the labelled documents, with calibrated rejection."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language models", dict)
         for batch in batches:
             found: dict = defaultdict(Counter)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -313,10 +342,11 @@ def classifier(model: Model):
     """The scoring function of a model as a column function of a text."""
     from pyspark.sql import SparkSession
 
-    held = SparkSession.active().sparkContext.broadcast(model)  # bounded by the training sample
+    model_b = SparkSession.active().sparkContext.broadcast(model)  # bounded by the training sample
 
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = held.value
+        m = model_b.value
+        held("language models", dict)  # lets go what another operator kept
         for texts in batches:
             yield pa.array([r for group in _chunks([t or "" for t in texts.to_pylist()]) for r in m.judge(group)], _ARROW)
 
