@@ -60,8 +60,18 @@ def c3_cosine_pairs(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- C5 / C6 / C7 / C8
 @query("c5_headline_matches")
 def c5_headline_matches(spark, sf_dir):
-    """Directed same-story pairs per entity over every stored headline (order = id)."""
-    return C.headline_matches(_news(spark, sf_dir), F.col("id"))
+    """Directed same-story matches of an entity's distinct headlines, by the smallest id of each."""
+    items = C.headline_items(_news(spark, sf_dir), F.col("id"))
+    return C.matched_texts(items, K.HEADLINE_RATIO_MIN, K.HEADLINE_COSINE_MIN, strict=False)
+
+
+@query("c5_headline_texts", B.with_ctes(
+    f"SELECT id, entity, min(id) OVER w AS text_id, count(*) OVER w AS copies FROM (SELECT id, entity, "
+    f"{B.normalize_headline('headline')} AS t FROM b_news) WINDOW w AS (PARTITION BY entity, t)", ["b_news"]))
+def c5_headline_texts(spark, sf_dir):
+    """Which rows a representative of c5_headline_matches stands for."""
+    items = C.headline_items(_news(spark, sf_dir), F.col("id"))
+    return C.named_texts(items).select(F.col("iid").alias("id"), "entity", "text_id", "copies")
 
 
 @query("c6_group_stories")
@@ -94,8 +104,19 @@ def c9_drop_covered(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- C10 / C11
 @query("c10_description_matches")
 def c10_description_matches(spark, sf_dir):
+    """Directed near-duplicate matches of an entity's distinct descriptions that come near each other in time."""
+    ch = T.changes(T.Raw(spark, sf_dir)).select("id", "entity", "detected_at", "description")
+    return C.matched_texts(C.description_items(ch, F.col("id")), K.DESCRIPTION_RATIO_MIN, K.DESCRIPTION_COSINE_MIN,
+                           strict=True, window_days=K.DESCRIPTION_WINDOW_DAYS)
+
+
+@query("c10_description_texts", B.with_ctes(
+    "SELECT id, entity, min(id) OVER w AS text_id, count(*) OVER w AS copies FROM b_changes "
+    "WINDOW w AS (PARTITION BY entity, coalesce(description, ''))", ["b_changes"]))
+def c10_description_texts(spark, sf_dir):
+    """Which rows a representative of c10_description_matches stands for."""
     ch = T.changes(T.Raw(spark, sf_dir)).select("id", "entity", "detected_at", "description")
-    return C.description_matches(ch, F.col("detected_at").cast("long") * 0 - F.col("id"))
+    return C.named_texts(C.description_items(ch, F.col("id"))).select(F.col("iid").alias("id"), "entity", "text_id", "copies")
 
 
 @query("c11_dedupe_changes")
@@ -140,9 +161,9 @@ def c12_c13_source_rank(spark, sf_dir):
 
 @query("c4_seq_ratio")
 def c4_seq_ratio(spark, sf_dir):
-    """Ratcliff-Obershelp ratio in both argument orders for every same-story pair of headlines."""
+    """Ratcliff-Obershelp ratio in both argument orders for every same-story pair of distinct headlines."""
     n = _news(spark, sf_dir)
-    pairs = C.headline_matches(n, F.col("id"))
+    pairs = C.matched_texts(C.headline_items(n, F.col("id")), K.HEADLINE_RATIO_MIN, K.HEADLINE_COSINE_MIN, strict=False)
     a = n.select(F.col("id").alias("a"), S.normalize_headline(F.col("headline")).alias("ta"))
     b = n.select(F.col("id").alias("b"), S.normalize_headline(F.col("headline")).alias("tb"))
     j = pairs.join(a, "a").join(b, "b")
