@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..session import cut_lineage
+from .ordering import numbered
 
 # --------------------------------------------------------------------------------------------
 # A1: schema conformance
@@ -242,6 +243,15 @@ def bootstrap_scores(events: DataFrame, scores: DataFrame, entities: list[str],
         F.col("id").alias("event_id"))
 
 
+def bootstrap_entities(events: DataFrame, seed_changes: DataFrame, scores: DataFrame, changes: DataFrame,
+                       entities: list[str], weights: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to insert for listed entities: the events and a score per event of those without any score,
+    and the seed changes of those without any change."""
+    unscored = events.filter(F.col("entity").isin(*entities)).join(scores.select("entity").distinct(), "entity", "left_anti")
+    unchanged = seed_changes.filter(F.col("entity").isin(*entities)).join(changes.select("entity").distinct(), "entity", "left_anti")
+    return unscored.select(*events.columns), bootstrap_scores(events, scores, entities, weights), unchanged.select(*seed_changes.columns)
+
+
 def bulk_load(df: DataFrame, target: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Cast every column to its target type; a row whose non-NULL value fails a cast is
     'failed'. Returns (loaded rows, per-status counts with the total)."""
@@ -254,13 +264,39 @@ def bulk_load(df: DataFrame, target: dict[str, str]) -> tuple[DataFrame, DataFra
     return typed.filter(F.col("status") == "ok").drop("status"), counts
 
 
-def run_ledger(runs: DataFrame, errors: DataFrame) -> DataFrame:
-    """Every run row opens as 'running' and is closed by id: 'completed' iff it has no error,
-    details = its errors joined by '; ' (in error order) or NULL."""
-    agg = errors.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "error"))).alias("errs"))
-    j = runs.join(agg, "run_id", "left")
-    return j.select(
-        "run_id", "started_at",
-        F.when(F.col("errs").isNull(), "completed").otherwise("completed_with_errors").alias("status"),
-        F.when(F.col("errs").isNull(), F.lit(None).cast("string")).otherwise(
-            F.array_join(F.transform("errs", lambda e: e["error"]), "; ")).alias("details"))
+ERRORS_PER_CHUNK = 100
+_LEDGER = ["run_id", "kind", "seq", "at", "text"]
+
+
+def ledger_rows(runs: DataFrame, kind: str, at: str | None = None, seq: str | None = None, text: str | None = None) -> DataFrame:
+    """Rows of the append-only run ledger; kind is start, finish or error."""
+    none = lambda t: F.lit(None).cast(t)
+    return runs.select("run_id", F.lit(kind).alias("kind"), (F.col(seq).cast("long") if seq else none("long")).alias("seq"),
+                       (F.col(at) if at else none("string")).alias("at"), (F.col(text) if text else none("string")).alias("text"))
+
+
+def run_states(ledger: DataFrame) -> DataFrame:
+    """The state of every run, by partial aggregates over its rows: 'running' until a finish row comes, then
+    'completed' iff there is no error. A stored run is updated by appending a row with its id."""
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    g = ledger.groupBy("run_id").agg(
+        F.min(of("start", "at")).alias("started_at"), F.max(of("finish", "at")).alias("finished_at"),
+        F.count(of("error", "kind")).alias("n_errors"))
+    status = F.when(F.col("finished_at").isNull(), "running").when(F.col("n_errors") == 0, "completed").otherwise("completed_with_errors")
+    return g.select("run_id", "started_at", "finished_at", status.alias("status"), "n_errors")
+
+
+def run_errors(ledger: DataFrame) -> DataFrame:
+    """(run_id, no, error), a run's errors numbered from 1 in order, without collecting a run."""
+    rows = numbered(ledger.where("kind = 'error'").select("run_id", "seq", F.col("text").alias("error")),
+                    [F.asc_nulls_first("run_id"), F.asc_nulls_first("seq"), F.asc_nulls_first("error")], "_n")
+    first = rows.groupBy("run_id").agg(F.min("_n").alias("_first")).select(F.col("run_id").alias("_run"), "_first")
+    return rows.join(first, F.col("run_id").eqNullSafe(F.col("_run"))).select(
+        "run_id", (F.col("_n") - F.col("_first") + 1).alias("no"), "error")
+
+
+def error_texts(ledger: DataFrame, per_chunk: int = ERRORS_PER_CHUNK) -> DataFrame:
+    """(run_id, chunk, details): the errors joined by '; ', at most `per_chunk` in a row."""
+    rows = run_errors(ledger).withColumn("chunk", F.floor((F.col("no") - 1) / per_chunk).cast("long"))
+    parts = rows.groupBy("run_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("no", "error"))).alias("e"))
+    return parts.select("run_id", "chunk", F.array_join(F.transform("e", lambda x: x["error"]), "; ").alias("details"))

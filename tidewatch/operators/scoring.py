@@ -26,6 +26,12 @@ def news_component(news: DataFrame) -> DataFrame:
     return news.groupBy("entity").agg((F.sum("relevance") / F.count("relevance")).alias("news_value"))
 
 
+def static_component(entities: DataFrame, weights: DataFrame) -> DataFrame:
+    """The fixed weight of every entity (weights: entity, static_weight), else the default."""
+    return entities.join(weights, "entity", "left").select(
+        "entity", F.coalesce("static_weight", F.lit(K.STATIC_DEFAULT)).cast("double").alias("static_value"))
+
+
 def velocity_component(*change_sets: DataFrame) -> DataFrame:
     """Mean impact over page and update-page changes (union of every change source)."""
     cols = ["entity", "customer_impact_score"]

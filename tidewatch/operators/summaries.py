@@ -114,15 +114,12 @@ def comparison_context(scans: DataFrame, roster: DataFrame, changes: DataFrame,
 
 
 def scan_summary(scans: DataFrame, changes: DataFrame, news: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per scan the entities scanned, total changes, total news and the error list."""
+    """Per scan the entities scanned, total changes, total news and errors (listed by `ingest.run_errors`)."""
     n_ent = scans.groupBy("scan").agg(F.countDistinct("entity").alias("entities_scanned"))
-    n_ch = changes.groupBy("scan").agg(F.count(F.lit(1)).alias("changes_found"))
-    n_nw = news.groupBy("scan").agg(F.count(F.lit(1)).alias("news_found"))
-    errs = errors.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("seq", "error"))).alias("e"))
-    return (n_ent.join(n_ch, "scan", "left").join(n_nw, "scan", "left").join(errs, "scan", "left").select(
-        "scan", "entities_scanned", F.coalesce("changes_found", F.lit(0)).alias("changes_found"),
-        F.coalesce("news_found", F.lit(0)).alias("news_found"),
-        F.coalesce(F.transform("e", lambda x: x["error"]), F.array().cast("array<string>")).alias("errors")))
+    out = n_ent
+    for rows, name in ((changes, "changes_found"), (news, "news_found"), (errors, "errors_found")):
+        out = out.join(rows.groupBy("scan").agg(F.count(F.lit(1)).alias(name)), "scan", "left")
+    return out.select("scan", "entities_scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("changes_found", "news_found", "errors_found")])
 
 
 RATING_MARKS = {"green": "(+)", "yellow": "(~)", "red": "(-)"}

@@ -132,9 +132,17 @@ def a5_parse_video_feed(spark, sf_dir):
 @query("a6_canonical_id", "SELECT page_id, CASE WHEN h <> '' AND starts_with(s, 'UC') THEN s END AS channel_id, "
                           "CASE WHEN h = '' THEN 'no_canonical' WHEN starts_with(s, 'UC') THEN 'ok' ELSE 'unexpected' END AS channel_status "
                           "FROM (SELECT page_id, h, CASE WHEN h = '' THEN '' ELSE regexp_extract(h, '([^/]*)$', 1) END AS s FROM "
-                          "(SELECT page_id, regexp_extract(html, '<link rel=\"canonical\" href=\"([^\"]+)\"', 1) AS h FROM pages))")
+                          "(SELECT page_id, regexp_extract(CASE page_id % 4 WHEN 0 THEN '' ELSE '<link rel=\"canonical\" href=\"' || "
+                          "CASE page_id % 4 WHEN 1 THEN 'https://video.example/channel/UC' || md5(url) WHEN 2 THEN 'https://video.example/c/' "
+                          "|| CAST(page_id AS VARCHAR) ELSE 'UC' || CAST(page_id AS VARCHAR) END || '\">' END || html, "
+                          "'<link rel=\"canonical\" href=\"([^\"]+)\"', 1) AS h FROM pages))")
 def a6_canonical_id(spark, sf_dir):
-    return A.canonical_id(_raw(spark, sf_dir).table("pages")).select("page_id", "channel_id", "channel_status")
+    """Every page with a canonical link put in front: a channel's, another path's, a bare id's, or none."""
+    pages, n = _raw(spark, sf_dir).table("pages"), F.col("page_id")
+    href = (F.when(n % 4 == 1, F.concat(F.lit("https://video.example/channel/UC"), F.md5(F.col("url").cast("binary"))))
+            .when(n % 4 == 2, F.concat(F.lit("https://video.example/c/"), n.cast("string"))).otherwise(F.concat(F.lit("UC"), n.cast("string"))))
+    link = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit('<link rel="canonical" href="'), href, F.lit('">')))
+    return A.canonical_id(pages.withColumn("html", F.concat(link, "html"))).select("page_id", "channel_id", "channel_status")
 
 
 # ---------------------------------------------------------------------------------------------- A1 / A2
@@ -223,23 +231,24 @@ def _snap_rows(spark, sf_dir):
     "SELECT entity, page_key, content_hash, text_len, updated_at FROM ("
     "SELECT *, row_number() OVER (PARTITION BY entity, page_key ORDER BY src DESC, updated_at DESC) AS r FROM ("
     "SELECT entity, page_key, sha256(html) AS content_hash, length(html) AS text_len, 'v1' AS updated_at, 0 AS src "
-    "FROM w WHERE page_id % 2 = 0 UNION ALL "
-    "SELECT entity, page_key, sha256(html || repeat(html, 40)) AS content_hash, least(length(html) * 41, 200000) AS text_len, "
-    "'v2' AS updated_at, 1 AS src FROM w WHERE page_id % 3 = 0)) WHERE r = 1",
+    "FROM w UNION ALL "
+    "SELECT entity, CASE page_id % 3 WHEN 0 THEN page_key ELSE page_key || '::new' END AS page_key, sha256(html || repeat(html, 40)) "
+    "AS content_hash, least(length(html) * 41, 200000) AS text_len, 'v2' AS updated_at, 1 AS src FROM w)) WHERE r = 1",
     ["w"], {"w": (f"SELECT coalesce({B.case_map(T.LANG_ENTITY, 'lang')}, 'E4') AS entity, "
                   f"(CASE {B.pick(T.LAYERS, 't.page_id')} WHEN 'update' THEN 'product_updates::' WHEN 'offer' THEN 'offers::' ELSE '' END) "
                   "|| 'p' || CAST(t.page_id AS VARCHAR) AS page_key, t.page_id, p.html FROM b_titles t JOIN pages p ON p.page_id = t.page_id",
                   ["b_titles"])}))
 def a10_upsert_snapshots(spark, sf_dir):
-    """Snapshots of even pages, updated with a long new text (the page repeated 41 times) for every
-    third page: the stored text is cut to 200,000 characters, the hash covers the full text."""
+    """Snapshots of all pages, and an update of every page with a long new text (the page repeated 41 times), for
+    every third under its own key, else under a new one: the stored text is cut to 200,000 characters, the
+    hash covers the full text."""
     s = _snap_rows(spark, sf_dir)
-    cur = s.filter(F.col("page_id") % 2 == 0).select("entity", "page_key", F.col("html").alias("content_text"),
-                                                     S.content_hash(F.col("html")).alias("content_hash"),
-                                                     F.lit("v1").alias("updated_at"))
+    cur = s.select("entity", "page_key", F.col("html").alias("content_text"), S.content_hash(F.col("html")).alias("content_hash"),
+                   F.lit("v1").alias("updated_at"))
     full = F.concat(F.col("html"), F.repeat(F.col("html"), 40))
-    upd = s.filter(F.col("page_id") % 3 == 0).select("entity", "page_key", full.alias("content_text"),
-                                                      S.content_hash(full).alias("content_hash"), F.lit("v2").alias("updated_at"))
+    key = F.when(F.col("page_id") % 3 == 0, F.col("page_key")).otherwise(F.concat("page_key", F.lit("::new")))
+    upd = s.select("entity", key.alias("page_key"), full.alias("content_text"), S.content_hash(full).alias("content_hash"),
+                   F.lit("v2").alias("updated_at"))
     out = A.upsert(cur, upd, ["entity", "page_key"])
     return out.select("entity", "page_key", "content_hash", F.length("content_text").cast("long").alias("text_len"), "updated_at")
 
@@ -257,41 +266,75 @@ def a11_insert_ignore(spark, sf_dir):
     return A.insert_ignore(stored, n, ["entity", "link"], [F.col("id")]).select("id", "entity", "url")
 
 
+def _moved_sql(table: str, columns: str) -> str:
+    return f"(SELECT CASE id % 5 WHEN 0 THEN 'E8' WHEN 1 THEN 'E9' ELSE entity END AS entity, {columns} FROM {table})"
+
+
+def _moved(df):
+    """All rows, a part of them given to E8 and E9, which own none so far."""
+    return df.withColumn("entity", F.when(F.col("id") % 5 == 0, "E8").when(F.col("id") % 5 == 1, "E9").otherwise(F.col("entity")))
+
+
 @query("a12_backfill", B.with_ctes(
-    "SELECT id, entity, 'current' AS origin FROM b_changes_core WHERE entity NOT IN ('E6', 'E7') UNION ALL "
-    "SELECT id, entity, 'seed' AS origin FROM b_history WHERE entity NOT IN "
-    "(SELECT DISTINCT entity FROM b_changes_core WHERE entity NOT IN ('E6', 'E7'))", ["b_changes_core", "b_history"]))
+    "SELECT id, entity, 'current' AS origin FROM b_changes_core UNION ALL "
+    f"SELECT id, entity, 'seed' AS origin FROM {_moved_sql('b_history', 'id')} WHERE entity NOT IN "
+    "(SELECT DISTINCT entity FROM b_changes_core)", ["b_changes_core", "b_history"]))
 def a12_backfill(spark, sf_dir):
     raw = _raw(spark, sf_dir)
-    cur = T.changes(raw, with_text=False).filter(~F.col("entity").isin("E6", "E7")).select("id", "entity", F.lit("current").alias("origin"))
-    seed = T.history(raw).select("id", "entity", F.lit("seed").alias("origin"))
-    return A.backfill(cur, seed)
+    cur = T.changes(raw, with_text=False).select("id", "entity", F.lit("current").alias("origin"))
+    return A.backfill(cur, _moved(T.history(raw)).select("id", "entity", F.lit("seed").alias("origin")))
 
 
 @query("a12_backfill_if_empty", B.with_ctes(
-    "SELECT id, entity, 'seed' AS origin FROM b_history", ["b_history"]))
+    "SELECT id, entity, 'seed' AS origin, 'empty' AS stored FROM b_history UNION ALL "
+    "SELECT id, entity, 'current', 'filled' FROM b_changes_core", ["b_history", "b_changes_core"]))
 def a12_backfill_if_empty(spark, sf_dir):
+    """All history rows against a table without rows, and against the changes (which stay as they are)."""
     raw = _raw(spark, sf_dir)
-    empty = T.changes(raw, with_text=False).filter(F.col("customer_impact_score") > 10).select(
-        "id", "entity", F.lit("current").alias("origin"))
     seed = T.history(raw).select("id", "entity", F.lit("seed").alias("origin"))
-    return A.backfill(empty, seed, only_if_empty=True)
+    filled = T.changes(raw, with_text=False).select("id", "entity", F.lit("current").alias("origin"))
+    empty = spark.createDataFrame([], seed.schema)
+    return A.backfill(empty, seed, only_if_empty=True).withColumn("stored", F.lit("empty")).unionByName(
+        A.backfill(filled, seed, only_if_empty=True).withColumn("stored", F.lit("filled")))
+
+
+def _bootstrap(spark, sf_dir):
+    """E8 and E9 own history and seed changes, but neither scores nor changes; E0 owns both."""
+    raw = _raw(spark, sf_dir)
+    changes = T.changes(raw, with_text=False)
+    return A.bootstrap_entities(_moved(T.history(raw)), _moved(changes), T.scores(raw), changes, ["E0", "E8", "E9"],
+                                T.roster(spark).select("entity", "static_weight"))
+
+
+_HISTORY = "id, event_date, event_type, description, source, impact_score"
 
 
 @query("a13_bootstrap_scores", B.with_ctes(
     "SELECT h.entity, CAST(h.impact_score AS DOUBLE) AS threat_score, "
     f"CAST(coalesce(r.static_weight, {K.STATIC_DEFAULT}) AS DOUBLE) AS smb_relevance_component, "
     "h.event_date || ': ' || h.description || ' (' || h.source || ')' AS reason, h.event_date || 'T00:00:00+00:00' AS scanned_at, "
-    "h.id AS event_id FROM b_history h LEFT JOIN b_roster r ON r.entity = h.entity "
-    "WHERE h.entity IN ('E6', 'E7', 'E8') AND h.entity NOT IN (SELECT entity FROM b_scores WHERE entity NOT IN ('E6', 'E7'))",
+    f"h.id AS event_id FROM {_moved_sql('b_history', _HISTORY)} h LEFT JOIN b_roster r ON r.entity = h.entity "
+    "WHERE h.entity IN ('E0', 'E8', 'E9') AND h.entity NOT IN (SELECT entity FROM b_scores)",
     ["b_history", "b_roster", "b_scores"]))
 def a13_bootstrap_scores(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    scores = T.scores(raw).filter(~F.col("entity").isin("E6", "E7"))
-    out = A.bootstrap_scores(T.history(raw), scores, ["E6", "E7", "E8"], T.roster(spark).select("entity", "static_weight"))
+    _, out, _ = _bootstrap(spark, sf_dir)
     return out.select("entity", "threat_score", "smb_relevance_component", "reason", "scanned_at", "event_id")
 
 
+@query("a13_bootstrap_events", B.with_ctes(
+    f"SELECT entity, {_HISTORY} FROM {_moved_sql('b_history', _HISTORY)} "
+    "WHERE entity IN ('E0', 'E8', 'E9') AND entity NOT IN (SELECT entity FROM b_scores)", ["b_history", "b_scores"]))
+def a13_bootstrap_events(spark, sf_dir):
+    return _bootstrap(spark, sf_dir)[0].select("entity", *_HISTORY.split(", "))
+
+
+@query("a13_bootstrap_changes", B.with_ctes(
+    f"SELECT entity, id, change_type, customer_impact_score FROM {_moved_sql('b_changes_core', 'id, change_type, customer_impact_score')} "
+    "WHERE entity IN ('E0', 'E8', 'E9') AND entity NOT IN (SELECT entity FROM b_changes_core)", ["b_changes_core"]))
+def a13_bootstrap_changes(spark, sf_dir):
+    return _bootstrap(spark, sf_dir)[2].select("entity", "id", "change_type", "customer_impact_score")
+
+
 @query("a14_bulk_load", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN (value IS NOT NULL AND TRY_CAST(value AS DECIMAL(4,2)) IS NULL) "
                         "OR (props IS NOT NULL AND TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL) THEN 'failed' ELSE 'ok' END AS status "
                         "FROM events) GROUP BY status")
@@ -301,22 +344,46 @@ def a14_bulk_load(spark, sf_dir):
     return counts
 
 
+def _ledger(spark, sf_dir):
+    """A scan run for each day of events; every error event is an error of its run, and each seventh day of a month
+    is still running."""
+    ev = _raw(spark, sf_dir).table("events")
+    runs = ev.select(F.to_date("ts").alias("run_id")).distinct().withColumns({
+        "started": F.concat(F.date_format("run_id", "yyyy-MM-dd"), F.lit("T00:00:00+00:00")),
+        "finished": F.concat(F.date_format("run_id", "yyyy-MM-dd"), F.lit("T23:59:59+00:00"))})
+    errors = ev.filter(F.col("event_type") == "error").select(
+        F.to_date("ts").alias("run_id"), "event_id", F.concat(
+            F.lit("E"), (F.col("user_id") % 8).cast("string"), F.lit(": scan failed ("), F.col("event_id").cast("string"), F.lit(")")).alias("error"))
+    return A.ledger_rows(runs, "start", "started").unionByName(
+        A.ledger_rows(runs.where(F.dayofmonth("run_id") % 7 != 0), "finish", "finished")).unionByName(
+        A.ledger_rows(errors, "error", seq="event_id", text="error"))
+
+
+_ERRORS_SQL = {"errs": ("SELECT CAST(ts AS DATE) AS run_id, event_id, 'E' || CAST(user_id % 8 AS VARCHAR) || ': scan failed (' || "
+                        "CAST(event_id AS VARCHAR) || ')' AS error, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS no "
+                        "FROM events WHERE event_type = 'error'", [])}
+
+
 @query("a15_run_ledger", B.with_ctes(
-    "SELECT r.run_id, r.started_at, CASE WHEN e.details IS NULL THEN 'completed' ELSE 'completed_with_errors' END AS status, "
-    "e.details FROM (SELECT DISTINCT CAST(ts AS DATE) AS run_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') || 'T00:00:00+00:00' AS started_at "
-    "FROM events) r LEFT JOIN (SELECT CAST(ts AS DATE) AS run_id, string_agg('E' || CAST(user_id % 8 AS VARCHAR) || ': scan failed (' "
-    "|| CAST(event_id AS VARCHAR) || ')', '; ' ORDER BY event_id) AS details FROM events WHERE event_type = 'error' AND value > 400 "
-    "GROUP BY 1) e ON e.run_id = r.run_id", []))
+    "SELECT r.run_id, strftime(r.run_id, '%Y-%m-%d') || 'T00:00:00+00:00' AS started_at, CASE WHEN day(r.run_id) % 7 <> 0 "
+    "THEN strftime(r.run_id, '%Y-%m-%d') || 'T23:59:59+00:00' END AS finished_at, CASE WHEN day(r.run_id) % 7 = 0 THEN 'running' "
+    "WHEN e.n IS NULL THEN 'completed' ELSE 'completed_with_errors' END AS status, coalesce(e.n, 0) AS n_errors "
+    "FROM (SELECT DISTINCT CAST(ts AS DATE) AS run_id FROM events) r LEFT JOIN (SELECT run_id, count(*) AS n FROM errs GROUP BY 1) e "
+    "ON e.run_id = r.run_id", ["errs"], _ERRORS_SQL))
 def a15_run_ledger(spark, sf_dir):
-    """One scan run per day of events; errors are the day's error events with value > 400."""
-    ev = _raw(spark, sf_dir).table("events")
-    runs = ev.select(F.to_date("ts").alias("run_id")).distinct().withColumn(
-        "started_at", F.concat(F.date_format("run_id", "yyyy-MM-dd"), F.lit("T00:00:00+00:00")))
-    errs = ev.filter((F.col("event_type") == "error") & (F.col("value") > 400)).select(
-        F.to_date("ts").alias("run_id"), F.col("event_id").alias("seq"),
-        F.concat(F.lit("E"), (F.col("user_id") % 8).cast("string"), F.lit(": scan failed ("),
-                 F.col("event_id").cast("string"), F.lit(")")).alias("error"))
-    return A.run_ledger(runs, errs)
+    return A.run_states(_ledger(spark, sf_dir))
+
+
+@query("a15_run_errors", B.with_ctes("SELECT run_id, no, error FROM errs", ["errs"], _ERRORS_SQL))
+def a15_run_errors(spark, sf_dir):
+    return A.run_errors(_ledger(spark, sf_dir))
+
+
+@query("a15_error_texts", B.with_ctes(
+    f"SELECT run_id, (no - 1) // {A.ERRORS_PER_CHUNK} AS chunk, string_agg(error, '; ' ORDER BY no) AS details FROM errs GROUP BY 1, 2",
+    ["errs"], _ERRORS_SQL))
+def a15_error_texts(spark, sf_dir):
+    return A.error_texts(_ledger(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------------------------- D1 - D6
@@ -429,16 +496,18 @@ def d5_repair_blank(spark, sf_dir):
     "CASE WHEN a.sentiment IS NULL THEN NULL ELSE a.opportunity END AS opp, "
     "CASE WHEN a.sentiment IS NOT NULL THEN a.opportunity WHEN coalesce(c.n, 0) > 0 THEN 'Found ' || CAST(c.n AS VARCHAR) || "
     "' app review(s) but the analysis failed this scan.' ELSE 'No app reviews found for this entity in this scan.' END AS opportunity "
-    "FROM b_roster r LEFT JOIN (SELECT entity, count(*) AS n FROM b_reviews GROUP BY entity) c ON c.entity = r.entity "
+    "FROM b_roster r LEFT JOIN (SELECT entity, count(*) AS n FROM (SELECT entity FROM b_reviews UNION ALL SELECT 'E8' FROM conversations "
+    "WHERE role = 'system') GROUP BY entity) c ON c.entity = r.entity "
     "LEFT JOIN (SELECT entity, arg_max(sentiment, id) AS sentiment, arg_max(severity_score, id) AS severity_score, "
-    "arg_max(opportunity, id) AS opportunity FROM b_sentiment WHERE entity NOT IN ('E1', 'E3') GROUP BY entity) a ON a.entity = r.entity",
+    "arg_max(opportunity, id) AS opportunity FROM b_sentiment GROUP BY entity) a ON a.entity = r.entity",
     ["b_roster", "b_reviews", "b_sentiment"]).replace(
         "CASE WHEN a.sentiment IS NULL THEN NULL ELSE a.opportunity END AS opp, ", ""))
 def d6_default_sentiment(spark, sf_dir):
-    """Review analysis failed for E1 and E3 (no answer rows), E7/E8 have no reviews."""
+    """E8 owns the system turns as reviews, and no analysis of them; other entities own analyses without reviews."""
     raw = _raw(spark, sf_dir)
-    counts = T.reviews(raw).groupBy("entity").agg(F.count(F.lit(1)).alias("review_count"))
-    latest = T.sentiment(raw).filter(~F.col("entity").isin("E1", "E3"))
+    system = raw.table("conversations").filter(F.col("role") == "system").select(F.lit("E8").alias("entity"))
+    counts = T.reviews(raw).select("entity").union(system).groupBy("entity").agg(F.count(F.lit(1)).alias("review_count"))
+    latest = T.sentiment(raw)
     w = Window.partitionBy("entity").orderBy(F.col("id").desc())
     ans = latest.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(
         "entity", "sentiment", "severity_score", "themes", "opportunity")
@@ -456,7 +525,7 @@ def d3_clamp_severity(spark, sf_dir):
 
 @query("d1_social_request", B.with_ctes(
     "SELECT f.entity, f.feed_no, coalesce(m.l, '(no results)') AS mention_lines, coalesce(v.l, '(no results)') AS video_lines "
-    "FROM (SELECT DISTINCT entity, feed_no FROM items) f "
+    "FROM (SELECT DISTINCT entity, feed_no FROM items UNION ALL SELECT 'E8', 0) f "
     "LEFT JOIN (SELECT entity, feed_no, string_agg('- ' || headline, chr(10) ORDER BY pos) AS l FROM mentions GROUP BY 1, 2) m "
     "ON m.entity = f.entity AND m.feed_no = f.feed_no "
     "LEFT JOIN (SELECT entity, feed_no, string_agg('- ' || title, chr(10) ORDER BY pos) AS l FROM videos GROUP BY 1, 2) v "
@@ -464,16 +533,17 @@ def d3_clamp_severity(spark, sf_dir):
     ["items", "mentions", "videos"],
     {**_ITEMS_SQL,
      "mentions": (f"SELECT entity, feed_no, pos, {_trim_sql('title')} AS headline FROM items WHERE pos < {K.MENTIONS_PER_FEED} "
-                  f"AND {_trim_sql('title')} <> '' AND {_trim_sql('link')} <> '' AND entity <> 'E2'", ["items"]),
+                  f"AND {_trim_sql('title')} <> '' AND {_trim_sql('link')} <> ''", ["items"]),
      "videos": (f"SELECT entity, feed_no, pos, {_trim_sql('title')} AS title FROM items WHERE pos < {K.VIDEOS_PER_FEED} "
-                f"AND {_trim_sql('title')} <> '' AND entity <> 'E3'", ["items"])}))
+                f"AND {_trim_sql('title')} <> ''", ["items"])}))
 def d1_social_request(spark, sf_dir):
-    """Social request text per feed batch; the mention feeds of E2 and the video feeds of E3 are
-    missing in this scan, so those parts read '(no results)'."""
+    """Social request text per feed batch; E8 has no feed at all, so its parts read '(no results)'."""
     feeds = news_feeds(spark, sf_dir)
-    m = A.parse_mention_feed(feeds.filter(F.col("entity") != "E2"))
-    v = A.parse_video_feed(video_feeds(spark, sf_dir).filter(F.col("entity") != "E3"))
+    m, v = A.parse_mention_feed(feeds), A.parse_video_feed(video_feeds(spark, sf_dir))
     batch = F.struct("entity", "feed_no")
-    out = D.build_social_request(feeds.select(batch.alias("batch")), m.select(batch.alias("batch"), "pos", F.col("headline").alias("text")),
+    asked = feeds.select("entity", "feed_no")
+    asked = asked.unionByName(T.literal_table(spark, [("E8", 0)], "entity string, feed_no int").select(
+        "entity", F.col("feed_no").cast(asked.schema["feed_no"].dataType)))
+    out = D.build_social_request(asked.select(batch.alias("batch")), m.select(batch.alias("batch"), "pos", F.col("headline").alias("text")),
                                  v.select(batch.alias("batch"), "pos", F.col("title").alias("text")))
     return out.select("batch.entity", "batch.feed_no", "mention_lines", "video_lines")

@@ -78,10 +78,10 @@ def f4_offers(spark, sf_dir):
 
 
 @query("f4_offers_filtered", B.with_ctes(
-    f"SELECT {_OF_SQL} FROM b_offers WHERE entity = 'E2' AND offer_type = 'cashback' AND target_segment = 'SMB' "
+    f"SELECT {_OF_SQL} FROM b_offers WHERE entity = 'E2' AND offer_type = 'free_trial' AND target_segment = 'SMB' "
     "ORDER BY detected_at DESC, id DESC LIMIT 500", ["b_offers"]))
 def f4_offers_filtered(spark, sf_dir):
-    df = R.offers(T.offers(_raw(spark, sf_dir)), 500, entity="E2", offer_type="cashback", segment="SMB")
+    df = R.offers(T.offers(_raw(spark, sf_dir)), 500, entity="E2", offer_type="free_trial", segment="SMB")
     return _iso(df.select(*_OF_COLS), "detected_at")
 
 
@@ -337,10 +337,10 @@ _TOP_OF = "(SELECT * FROM b_offers ORDER BY detected_at DESC, id DESC LIMIT 1000
 
 
 @query("g12_offers_view", B.with_ctes(
-    f"SELECT {_OF_SQL} FROM {_TOP_OF} WHERE entity = 'E6' AND offer_type = 'fee_waiver' AND target_segment = 'LAKA'",
+    f"SELECT {_OF_SQL} FROM {_TOP_OF} WHERE entity = 'E2' AND offer_type = 'free_trial' AND target_segment = 'New merchants'",
     ["b_offers"]))
 def g12_offers_view(spark, sf_dir):
-    df = G.offers_view(T.offers(_raw(spark, sf_dir)), entity="E6", offer_type="fee_waiver", segment="LAKA")
+    df = G.offers_view(T.offers(_raw(spark, sf_dir)), entity="E2", offer_type="free_trial", segment="New merchants")
     return _iso(df.select(*_OF_COLS), "detected_at")
 
 

@@ -77,10 +77,15 @@ def e2_velocity_component(spark, sf_dir):
 
 
 @query("e3_static_component", B.with_ctes(
-    f"SELECT entity, CAST(coalesce(static_weight, {K.STATIC_DEFAULT}) AS DOUBLE) AS static_value FROM b_roster", ["b_roster"]))
+    f"SELECT e.entity, CAST(coalesce(r.static_weight, {K.STATIC_DEFAULT}) AS DOUBLE) AS static_value FROM "
+    "(SELECT DISTINCT entity FROM (SELECT entity FROM b_changes_core UNION ALL SELECT 'N' || CAST(id % 3 AS VARCHAR) FROM b_news)) e "
+    "LEFT JOIN b_roster r ON r.entity = e.entity", ["b_changes_core", "b_news", "b_roster"]))
 def e3_static_component(spark, sf_dir):
-    r = T.roster(spark)
-    return r.select("entity", F.coalesce("static_weight", F.lit(K.STATIC_DEFAULT)).cast("double").alias("static_value"))
+    """Weights of the entities that own changes, and of three that no roster knows (named after news rows)."""
+    raw = T.Raw(spark, sf_dir)
+    new = T.news(raw).select(F.concat(F.lit("N"), (F.col("id") % 3).cast("string")).alias("entity"))
+    seen = T.changes(raw, with_text=False).select("entity").union(new).distinct()
+    return E.static_component(seen, T.roster(spark).select("entity", "static_weight"))
 
 
 @query("e4_social_component", B.with_ctes("SELECT * FROM c_social", ["c_social"], _COMPONENT_CTES))
