@@ -44,6 +44,36 @@ def test_parse_answers_faults(spark):
     assert got[10][0] == [f"type:{k}" for k in GOOD]
 
 
+def test_nested_answers(spark):
+    article = {"impact_type": "funding", "relevance": 3, "market_impact": "low", "summary": "s"}
+    rows = [{"articles": [article, article]}, {"articles": []}, {"articles": article}, {"articles": [article, {**article, "relevance": 3.5}]},
+            {"articles": [{**article, "x": 1, "a": 2}, None, "t"]}, {"articles": [article, {"summary": 4, "impact_type": "war"}]}, [], None]
+    p = D.parse_answers(_answers(spark, map(json.dumps, rows)), D.NEWS_ANSWER).orderBy("id").collect()
+    assert [r.reasons for r in p] == [
+        [], [], ["type:articles"], ["type:articles[1].relevance"],
+        ["extra:articles[0].a,x", "type:articles[1]", "type:articles[2]"],
+        ["enum:articles[1].impact_type", "missing:articles[1].relevance", "missing:articles[1].market_impact", "type:articles[1].summary"],
+        ["invalid_json"], ["invalid_json"]]
+    assert [a.summary for a in p[0].articles] == ["s", "s"] and p[1].articles == []
+    social = {"messaging_theme": "m", "campaign_focus": "Brand awareness", "target_segment_signals": [], "tone_shift": "Stable", "opportunity": "o"}
+    rows = [social, {**social, "target_segment_signals": ["SMB", "LAKA"]}, {**social, "target_segment_signals": ["SMB", None]}]
+    p = D.parse_answers(_answers(spark, map(json.dumps, rows)), D.SOCIAL_ANSWER).orderBy("id").collect()
+    assert [r.reasons for r in p] == [["few:target_segment_signals"], [], ["type:target_segment_signals[1]"]]
+    review = {"sentiment": "positive", "themes": ["t"], "severity_score": 7, "top_complaints": [], "top_praise": [], "opportunity": "o"}
+    p = D.parse_answers(_answers(spark, map(json.dumps, [review, {**review, "severity_score": 7.25}, {**review, "severity_score": True}])), D.REVIEW_ANSWER)
+    assert [(r.reasons, r.severity_score) for r in p.orderBy("id").collect()] == [([], 7.0), ([], 7.25), (["type:severity_score"], p.where("id = 2").first().severity_score)]
+
+
+def test_flatten_replaces_an_entity_named_again(spark):
+    dim = lambda d, r: {"dimension": d, "rating": r, "note": f"{d}{r}"}
+    card = {"comparisons": [{"entity": "E1", "dimensions": [dim("a", "red"), dim("b", "red")]}, {"entity": "E2", "dimensions": []},
+                            {"entity": "E1", "dimensions": [dim("a", "green"), dim("c", "red"), dim("a", "yellow")]}],
+            "top_threats": [], "top_advantages": ["x"]}
+    p = D.valid(D.parse_answers(_answers(spark, [json.dumps(card)]), D.COMPARISON_ANSWER))
+    got = D.flatten_comparison(p.select(F.col("id").alias("card_id"), "comparisons")).collect()
+    assert sorted((r.entity, r.dimension, r.rating) for r in got) == [("E1", "a", "yellow"), ("E1", "c", "red")]
+
+
 def test_repair_blank_and_align(spark):
     df = spark.createDataFrame([(1, " : ", K.GAP_LABEL, "High"), (2, "", "Tap to pay", None), (3, "Act now", "Tap to pay", "Low")],
                                "id long, recommended_action string, home_product string, threat_level string")

@@ -9,55 +9,110 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 
-# Task schemas: field -> (Spark type, allowed values or None). All fields are required and no
-# other key is allowed.
-CHANGE_ANSWER = {
-    "change_type": ("string", K.CHANGE_TYPES),
-    "description": ("string", None),
-    "customer_impact_score": ("int", None),
-    "revenue_sensitivity": ("string", K.REVENUE_SENSITIVITY_LEVELS),
-    "segment_affected": ("string", K.SEGMENTS_AFFECTED),
-}
-PRODUCT_ANSWER = {
-    "competitor_move": ("string", None),
-    "home_product": ("string", K.HOME_PRODUCTS),
-    "threat_level": ("string", K.THREAT_LEVELS),
-    "recommended_action": ("string", None),
-}
-OFFER_ANSWER = {
-    "offer_type": ("string", K.OFFER_TYPES),
-    "target_segment": ("string", K.OFFER_TARGET_SEGMENTS),
-    "aggressiveness": ("string", K.OFFER_AGGRESSIVENESS_LEVELS),
-    "duration": ("string", K.OFFER_DURATIONS),
-    "home_match": ("string", K.OFFER_MATCH_VALUES),
-    "description": ("string", None),
-}
+# Task schemas. Every field of a record is required and no other key is allowed; a specification is nested data that
+# `parse_answers` compiles into expressions over a VARIANT.
+
+
+def text(enum: list[str] | None = None) -> dict:
+    return {"kind": "text", "enum": enum}
+
+
+def whole() -> dict:
+    return {"kind": "whole"}
+
+
+def number() -> dict:
+    return {"kind": "number"}
+
+
+def items(of: dict, least: int = 0) -> dict:
+    return {"kind": "items", "of": of, "least": least}
+
+
+def record(**fields: dict) -> dict:
+    return {"kind": "record", "fields": fields}
+
+
+CHANGE_ANSWER = record(
+    change_type=text(K.CHANGE_TYPES), description=text(), customer_impact_score=whole(),
+    revenue_sensitivity=text(K.REVENUE_SENSITIVITY_LEVELS), segment_affected=text(K.SEGMENTS_AFFECTED))
+PRODUCT_ANSWER = record(
+    competitor_move=text(), home_product=text(K.HOME_PRODUCTS), threat_level=text(K.THREAT_LEVELS), recommended_action=text())
+SOCIAL_ANSWER = record(
+    messaging_theme=text(), campaign_focus=text(K.CAMPAIGN_FOCUS_OPTIONS),
+    target_segment_signals=items(text(K.SEGMENTS_AFFECTED), least=1), tone_shift=text(K.TONE_SHIFT_OPTIONS), opportunity=text())
+OFFER_ANSWER = record(
+    offer_type=text(K.OFFER_TYPES), target_segment=text(K.OFFER_TARGET_SEGMENTS),
+    aggressiveness=text(K.OFFER_AGGRESSIVENESS_LEVELS), duration=text(K.OFFER_DURATIONS), home_match=text(K.OFFER_MATCH_VALUES),
+    description=text())
+REVIEW_ANSWER = record(
+    sentiment=text(K.SENTIMENTS), themes=items(text()), severity_score=number(), top_complaints=items(text()),
+    top_praise=items(text()), opportunity=text())
+NEWS_ANSWER = record(articles=items(record(
+    impact_type=text(K.NEWS_IMPACT_TYPES), relevance=whole(), market_impact=text(K.MARKET_IMPACTS), summary=text())))
+COMPARISON_ANSWER = record(
+    comparisons=items(record(entity=text(), dimensions=items(record(
+        dimension=text(), rating=text(K.COMPARISON_RATINGS), note=text())))),
+    top_threats=items(text()), top_advantages=items(text()))
+REASON_ANSWER = record(reason=text())
+
+_SIMPLE = {"text": "string", "whole": "int", "number": "double"}
+
+
+def answer_type(spec: dict) -> str:
+    """The Spark type of a specification."""
+    if spec["kind"] == "items":
+        return f"array<{answer_type(spec['of'])}>"
+    if spec["kind"] == "record":
+        return "struct<" + ", ".join(f"{k}: {answer_type(v)}" for k, v in spec["fields"].items()) + ">"
+    return _SIMPLE[spec["kind"]]
+
+
+def _reasons(value: Column, spec: dict, path: Column | None) -> Column:
+    """Everything in which a VARIANT departs from its specification, as `fault:path`."""
+    def say(fault: str, *more: Column) -> Column:
+        return F.array(F.concat(F.lit(fault + ":"), *([path] if path is not None else []), *more))
+
+    def below(field: str) -> Column:
+        return F.lit(field) if path is None else F.concat(path, F.lit("." + field))
+
+    none = F.array().cast("array<string>")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    if spec["kind"] == "text":
+        if spec["enum"] is None:
+            return F.when(kind == "STRING", none).otherwise(say("type"))
+        known = F.coalesce(F.try_variant_get(value, "$", "string").isin(*spec["enum"]), F.lit(False))
+        return F.when(kind != "STRING", say("type")).when(~known, say("enum")).otherwise(none)
+    if spec["kind"] == "whole":
+        return F.when(kind == "BIGINT", none).otherwise(say("type"))
+    if spec["kind"] == "number":
+        return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), none).otherwise(say("type"))
+    if spec["kind"] == "items":
+        parts = F.try_variant_get(value, "$", "array<variant>")
+        at = path if path is not None else F.lit("")
+        found = F.flatten(F.transform(parts, lambda x, i: _reasons(
+            x, spec["of"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+        few = F.when(F.size(parts) < spec["least"], say("few")).otherwise(none)
+        return F.when(kind.startswith("ARRAY"), F.concat(few, found)).otherwise(say("type"))
+    keys = F.json_object_keys(F.to_json(value))
+    faults = [F.when(F.array_contains(keys, f), _reasons(F.try_variant_get(value, f"$.{f}", "variant"), sub, below(f)))
+              .otherwise(F.array(F.concat(F.lit("missing:"), below(f)))) for f, sub in spec["fields"].items()]
+    extra = F.array_except(keys, F.array(*map(F.lit, spec["fields"])))
+    where = [] if path is None else [F.lit(".")]
+    faults.append(F.when(F.size(extra) > 0, say("extra", *where, F.array_join(F.array_sort(extra), ","))).otherwise(none))
+    return F.when(kind.startswith("OBJECT"), F.concat(*faults)).otherwise(say("type") if path is not None else F.array(F.lit("invalid_json")))
 
 
 def parse_answers(df: DataFrame, spec: dict, json_col: str = "answer") -> DataFrame:
-    """Parse the JSON answer; flag invalid JSON, missing or extra keys, wrong types and unknown
-    enum values. A JSON null, a number for a string or a quoted number for an integer is a wrong
-    type. Adds the typed fields and `reasons` (empty array = valid)."""
-    keys = F.json_object_keys(F.col(json_col))
-    allowed = F.array(*[F.lit(k) for k in spec])
-    ddl = ", ".join(f"`{k}` string" for k in spec)
-    parsed = df.withColumn("_j", F.from_json(F.col(json_col), ddl, {"mode": "PERMISSIVE"})).withColumn("_keys", keys)
-    parsed = parsed.withColumn("_v", F.try_parse_json(F.col(json_col)))
-    checks = [F.when(F.col("_keys").isNull(), F.lit("invalid_json"))]
-    for k, (typ, enum) in spec.items():
-        raw = F.col(f"_j.{k}")
-        present = F.coalesce(F.array_contains(F.col("_keys"), k), F.lit(False))
-        kind = F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{k}", "variant"))
-        typed_ok = F.coalesce(kind == ("BIGINT" if typ == "int" else "STRING"), F.lit(False))
-        checks.append(F.when(F.col("_keys").isNotNull() & ~present, F.lit(f"missing:{k}")))
-        checks.append(F.when(present & ~typed_ok, F.lit(f"type:{k}")))
-        if enum is not None:
-            checks.append(F.when(present & typed_ok & ~F.coalesce(raw.isin(*enum), F.lit(False)), F.lit(f"enum:{k}")))
-    extra = F.array_except(F.coalesce(F.col("_keys"), F.array().cast("array<string>")), allowed)
-    checks.append(F.when(F.size(extra) > 0, F.concat(F.lit("extra:"), F.array_join(F.array_sort(extra), ","))))
-    out = parsed.withColumn("reasons", F.array_compact(F.array(*checks)))
-    typed = [F.col(f"_j.{k}").try_cast("int").alias(k) if t == "int" else F.col(f"_j.{k}").alias(k) for k, (t, _) in spec.items()]
-    return out.select(*[c for c in df.columns], *typed, "reasons")
+    """Parse the JSON answer against a record specification, once.
+
+    `reasons` (empty: valid) names invalid JSON, missing and extra keys, wrong types (a JSON null, a number for a string
+    or a quoted number for an integer is one), values outside an enumeration and lists that are too short, at
+    any depth, with their paths. The record's fields are added in their types.
+    """
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(json_col)))
+    fields = [F.try_variant_get(F.col("_v"), f"$.{k}", answer_type(v)).alias(k) for k, v in spec["fields"].items()]
+    return parsed.select(*df.columns, *fields, _reasons(F.col("_v"), spec, None).alias("reasons"))
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -140,15 +195,16 @@ def build_review_request(reviews: DataFrame, batch: str = "entity") -> DataFrame
     return agg.select(batch, F.array_join(F.transform("ls", lambda x: x["b"]), "\n---\n").alias("request"))
 
 
-def flatten_comparison(card: DataFrame) -> DataFrame:
-    """Nested answer (list of entity -> list of dimension ratings) to long form; a repeated
-    (entity, dimension) keeps the last one."""
-    e = card.select("card_id", F.posexplode("comparisons").alias("ei", "c"))
-    d = e.select("card_id", "ei", F.col("c.entity").alias("entity"), F.posexplode("c.dimensions").alias("di", "d"))
-    w = Window.partitionBy("card_id", "entity", F.col("d.dimension")).orderBy(F.col("ei").desc(), F.col("di").desc())
-    return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select(
-        "card_id", "entity", F.col("d.dimension").alias("dimension"), F.col("d.rating").alias("rating"),
-        F.col("d.note").alias("note"))
+def flatten_comparison(cards: DataFrame) -> DataFrame:
+    """The nested answer (card_id, comparisons: list of entity -> list of dimension ratings) in long form. An
+    entity named again replaces what an earlier entry said of it, and a dimension named again within an entry likewise."""
+    entries = cards.select("card_id", F.posexplode("comparisons").alias("ei", "c")).select(
+        "card_id", "ei", F.col("c.entity").alias("entity"), F.col("c.dimensions").alias("dims"))
+    last = entries.groupBy("card_id", "entity").agg(F.max_by("dims", "ei").alias("dims"))
+    rows = last.select("card_id", "entity", F.posexplode("dims").alias("di", "d"))
+    kept = rows.groupBy("card_id", "entity", F.col("d.dimension").alias("dimension")).agg(
+        F.max_by(F.struct("d.rating", "d.note"), "di").alias("cell"))
+    return kept.select("card_id", "entity", "dimension", "cell.rating", "cell.note")
 
 
 def build_social_request(batches: DataFrame, mentions: DataFrame, videos: DataFrame, batch: str = "batch") -> DataFrame:
