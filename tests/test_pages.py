@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidewatch.operators import pages as P
-from tidewatch.sources.html_blocks import page_blocks
+from tidewatch.sources.html_blocks import parse_page, parsed_pages
 
 HTML = (
     '<html><head><title> My  Page </title><script>var x="<p>no</p>";</script></head><body>'
@@ -21,7 +21,7 @@ HTML = (
 
 
 def _blocks(spark, html=HTML):
-    return page_blocks(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    return parsed_pages(spark.createDataFrame([(1, html)], "page_id long, html string"))
 
 
 def _texts(df):
@@ -49,7 +49,7 @@ def test_page_text_and_title(spark):
     txt = P.page_text(b, "page").collect()[0].content_text
     assert txt == ("## TITLE\nMy Page\n## HEADINGS\nFirst\nSecond\nGood h2\nPost two\nThird & more\n"
                    "## PRICING\nPlans from $9/mo\nFEE waived\nFlat Rate pricing\n## FEATURES\nabc\nFlat Rate pricing")
-    empty = page_blocks(spark.createDataFrame([(2, "<html><body><p>x</p></body></html>")], "page_id long, html string"))
+    empty = parsed_pages(spark.createDataFrame([(2, "<html><body><p>x</p></body></html>")], "page_id long, html string"))
     assert P.page_text(empty, "updates").collect()[0].content_text == "## TITLE\n## HEADINGS\n## ARTICLE TITLES\n## BODY TEXT"
 
 
@@ -87,3 +87,29 @@ def test_compare_snapshots(spark):
     got = {(r.entity, r.page_key): r.status for r in
            P.compare_snapshots(P.with_hash(cur), P.with_hash(snap)).collect()}
     assert got == {("E0", "a"): "unchanged", ("E0", "b"): "changed", ("E1", "a"): "baseline"}
+
+
+def test_every_element_is_an_interval_of_the_text():
+    html = "<div class='a b'>x<h1/><article><p>" + "long " * 100 + "</p></article>y<style>no</style></div>tail<p>z"
+    title, text, elements = parse_page(html)
+    assert title == "" and text == "x" + "long " * 100 + "yz"  # text outside of any element belongs to none
+    got = [(e["ord"], e["until"], e["tag"], text[e["start"]:e["stop"]]) for e in elements]
+    assert got == [(0, 4, "div", "x" + "long " * 100 + "y"), (1, 1, "h1", ""), (2, 3, "article", "long " * 100),
+                   (3, 3, "p", "long " * 100), (5, 5, "p", "z")]
+    deep = parse_page("<div>" * 3000 + "x" + "</div>" * 3000)
+    assert len(deep[2]) == 3000 and deep[1] == "x"
+
+
+def test_article_with_an_empty_self_closing_heading(spark):
+    b = _blocks(spark, "<article><h1/><h2>Not this</h2></article><article><section><h3>Deep</h3></section></article><h1>outside</h1>")
+    assert _texts(P.article_titles(b)) == ["Deep"]
+
+
+def test_odd_pages(spark):
+    rows = [(1, None), (2, ""), (3, "<p>é中😀 " + "w " * 50 + "</p>"), (4, "<title>A<b>b</b></title><li>😀ab</li>")]
+    parsed = parsed_pages(spark.createDataFrame(rows, "page_id long, html string"))
+    got = {r.page_id: r.content_text for r in P.page_text(parsed, "updates").collect()}
+    bare = "## TITLE\n## HEADINGS\n## ARTICLE TITLES\n## BODY TEXT"
+    assert got == {1: bare, 2: bare, 3: bare + "\n" + ("é中😀 " + "w " * 50).strip(), 4: bare}
+    assert [r.text for r in P.feature_bullets(parsed).collect()] == ["😀ab"]
+    assert parsed_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0

@@ -1,7 +1,7 @@
-"""Page extraction from element rows, canonical page text, hashing and change detection.
+"""Page extraction from parsed pages, canonical page text, hashing and change detection.
 
-Everything after the single parse (B1) is native: filters, window ranks for first-occurrence
-de-duplication, and one ordered aggregate per page to assemble the canonical text.
+Everything after the single parse (B1) is native. A page's elements stand in its row, so sections are expressions over
+that row (filters, first occurrences, slices): extraction and the canonical text need no shuffle at all.
 """
 
 from __future__ import annotations
@@ -17,100 +17,107 @@ from ..functions import constants as K
 from ..functions import scalars as S
 
 
-def _clean(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("clean", S.clean_text(F.col("text")))
+def _texts(elements: Column) -> Column:
+    """Clean texts of elements, in their order."""
+    return F.transform(elements, lambda e: S.clean_text(F.substring(F.col("text"), e["start"] + 1, e["stop"] - e["start"])))
 
 
-def _first_occurrence(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Keep the first row per (page, text) in the given order (a 'seen' set)."""
-    w = Window.partitionBy("page_id", "clean").orderBy(*order)
-    return df.withColumn("_first", F.row_number().over(w)).filter(F.col("_first") == 1).drop("_first")
+def _tagged(tags: list[str]) -> Column:
+    return F.filter("elements", lambda e: e["tag"].isin(*tags))
 
 
-def page_title(blocks: DataFrame) -> DataFrame:
+def _sized(texts: Column, least: int, most: int | None = None) -> Column:
+    return F.filter(texts, lambda t: (F.length(t) >= least) & (F.length(t) <= most if most is not None else F.lit(True)))
+
+
+def title_of() -> Column:
     """Title string, cleaned ('' when absent)."""
-    return blocks.filter(F.col("tag") == "#title").select("page_id", S.clean_text(F.col("text")).alias("title"))
+    return S.clean_text(F.col("title"))
+
 
+def headings_of() -> Column:
+    """All h1, then all h2, then all h3; non-empty; first occurrence kept."""
+    return F.array_distinct(_sized(F.concat(*[_texts(_tagged([t])) for t in K.HEADING_TAGS]), 1))
 
-def headings(blocks: DataFrame) -> DataFrame:
-    """All h1, then all h2, then all h3; non-empty; first occurrence kept. pos = output order."""
-    rank = F.when(F.col("tag") == "h1", 0).when(F.col("tag") == "h2", 1).otherwise(2)
-    h = _clean(blocks.filter(F.col("tag").isin(*K.HEADING_TAGS))).withColumn("trank", rank).filter(F.col("clean") != "")
-    h = _first_occurrence(h, [F.col("trank"), F.col("ord")])
-    return h.select("page_id", (F.col("trank").cast("long") * F.lit(1 << 30) + F.col("ord")).alias("pos"), F.col("clean").alias("text"))
 
+def pricing_of() -> Column:
+    """div/span/p/td/li/h1-h4 in document order, 1-200 chars, containing a pricing keyword; first occurrence."""
+    def hit(t):
+        low, found = F.lower(t), F.lit(False)
+        for kw in K.PRICING_KEYWORDS:
+            found = found | low.contains(kw.lower())
+        return found
 
-def pricing_snippets(blocks: DataFrame) -> DataFrame:
-    """div/span/p/td/li/h1-h4 in document order, 1-200 chars, containing a pricing keyword."""
-    p = _clean(blocks.filter(F.col("tag").isin(*K.PRICING_TAGS)))
-    low = F.lower(F.col("clean"))
-    hit = F.lit(False)
-    for kw in K.PRICING_KEYWORDS:
-        hit = hit | low.contains(kw.lower())
-    p = p.filter((F.length("clean") >= 1) & (F.length("clean") <= K.PRICING_TEXT_MAX) & hit)
-    p = _first_occurrence(p, [F.col("ord")])
-    return p.select("page_id", F.col("ord").cast("long").alias("pos"), F.col("clean").alias("text"))
+    return F.array_distinct(F.filter(_sized(_texts(_tagged(K.PRICING_TAGS)), 1, K.PRICING_TEXT_MAX), hit))
 
 
-def feature_bullets(blocks: DataFrame) -> DataFrame:
+def features_of() -> Column:
     """Li text of 3-200 characters, distinct in first-seen order."""
-    li = _clean(blocks.filter(F.col("tag") == "li"))
-    li = li.filter((F.length("clean") >= K.FEATURE_TEXT_MIN) & (F.length("clean") <= K.FEATURE_TEXT_MAX))
-    li = _first_occurrence(li, [F.col("ord")])
-    return li.select("page_id", F.col("ord").cast("long").alias("pos"), F.col("clean").alias("text"))
-
-
-def article_titles(blocks: DataFrame) -> DataFrame:
-    """Per <article> (document order) the first existing h1, else h2, h3, h4 inside it - the
-    first tag that exists wins even when its text is empty or already seen; then every element
-    with a class matching /title|headline/i of 3-200 chars. One shared seen-set, articles first."""
-    inside = blocks.filter(F.col("tag").isin(*K.ARTICLE_TITLE_TAGS)).select(
-        "page_id", "ord", "tag", "text", F.explode("articles").alias("article"))
-    trank = F.when(F.col("tag") == "h1", 0).when(F.col("tag") == "h2", 1).when(F.col("tag") == "h3", 2).otherwise(3)
-    firsts = inside.groupBy("page_id", "article").agg(F.min_by(F.struct("ord", "text"), F.struct(trank, F.col("ord"))).alias("el"))
-    from_articles = firsts.select("page_id", F.lit(0).alias("src"), F.col("article").alias("key"),
-                                  S.clean_text(F.col("el.text")).alias("clean")).filter(F.col("clean") != "")
-    classed = _clean(blocks.filter(F.exists("classes", lambda c: c.rlike(K.TITLE_CLASS_PATTERN))))
-    classed = classed.filter((F.length("clean") >= K.FEATURE_TEXT_MIN) & (F.length("clean") <= K.PRICING_TEXT_MAX))
-    from_class = classed.select("page_id", F.lit(1).alias("src"), F.col("ord").alias("key"), "clean")
-    both = _first_occurrence(from_articles.unionByName(from_class), [F.col("src"), F.col("key")])
-    return both.select("page_id", (F.col("src").cast("long") * F.lit(1 << 30) + F.col("key")).cast("long").alias("pos"),
-                       F.col("clean").alias("text"))
-
-
-def body_paragraphs(blocks: DataFrame) -> DataFrame:
+    return F.array_distinct(_sized(_texts(_tagged(["li"])), K.FEATURE_TEXT_MIN, K.FEATURE_TEXT_MAX))
+
+
+def article_titles_of() -> Column:
+    """Per <article> (document order) the first existing h1, else h2, h3, h4 inside it - the first tag that exists
+    wins even when its text is empty or already seen; then every element with a class matching /title|headline/i
+    of 3-200 chars. One shared seen-set, articles first."""
+    heads = _tagged(K.ARTICLE_TITLE_TAGS)
+
+    def first(article):
+        inside = F.filter(heads, lambda e: (e["ord"] > article["ord"]) & (e["ord"] <= article["until"]))
+        ranked = F.transform(inside, lambda e: F.struct(
+            F.array_position(F.array(*map(F.lit, K.ARTICLE_TITLE_TAGS)), e["tag"]).alias("rank"), e["ord"].alias("ord"),
+            e["start"].alias("start"), e["stop"].alias("stop")))
+        return F.array_min(ranked)
+
+    firsts = F.filter(F.transform(_tagged(["article"]), first), lambda e: e.isNotNull())
+    classed = F.filter("elements", lambda e: F.exists(e["classes"], lambda c: c.rlike(K.TITLE_CLASS_PATTERN)))
+    return F.array_distinct(F.concat(_sized(_texts(firsts), 1), _sized(_texts(classed), K.FEATURE_TEXT_MIN, K.PRICING_TEXT_MAX)))
+
+
+def paragraphs_of() -> Column:
     """Only the first 180 <p>; keep texts of 20+ characters; stop at 60; no de-duplication."""
-    w = Window.partitionBy("page_id").orderBy("ord")
-    p = _clean(blocks.filter(F.col("tag") == "p")).withColumn("_n", F.row_number().over(w))
-    p = p.filter((F.col("_n") <= K.PARAGRAPH_SCAN_LIMIT) & (F.length("clean") >= K.PARAGRAPH_MIN_CHARS))
-    p = p.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= K.PARAGRAPH_KEEP)
-    return p.select("page_id", F.col("ord").cast("long").alias("pos"), F.col("clean").alias("text"))
+    return F.slice(_sized(_texts(F.slice(_tagged(["p"]), 1, K.PARAGRAPH_SCAN_LIMIT)), K.PARAGRAPH_MIN_CHARS), 1, K.PARAGRAPH_KEEP)
+
+
+def _rows(parsed: DataFrame, texts: Column) -> DataFrame:
+    """(page_id, pos, text): a section's entries in order."""
+    return parsed.select("page_id", F.posexplode(texts).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
-PAGE_SECTIONS = ["TITLE", "HEADINGS", "PRICING", "FEATURES"]
-UPDATE_SECTIONS = ["TITLE", "HEADINGS", "ARTICLE TITLES", "BODY TEXT"]
+def headings(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, headings_of())
 
 
-def page_text(blocks: DataFrame, profile: str = "page") -> DataFrame:
-    """Canonical text per page: '## NAME' headers always present, the title line only when
-    non-empty, parts in their own order, newline-joined."""
+def pricing_snippets(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, pricing_of())
+
+
+def feature_bullets(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, features_of())
+
+
+def article_titles(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, article_titles_of())
+
+
+def body_paragraphs(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, paragraphs_of())
+
+
+def page_text_of(profile: str = "page") -> Column:
+    """Canonical text: '## NAME' headers always present, the title line only when non-empty, parts in their own
+    order, newline-joined."""
+    parts = {"TITLE": F.when(title_of() != "", F.array(title_of())).otherwise(F.array().cast("array<string>")), "HEADINGS": headings_of()}
     if profile == "page":
-        parts = [headings(blocks), pricing_snippets(blocks), feature_bullets(blocks)]
-        names = PAGE_SECTIONS
+        parts |= {"PRICING": pricing_of(), "FEATURES": features_of()}
     else:
-        parts = [headings(blocks), article_titles(blocks), body_paragraphs(blocks)]
-        names = UPDATE_SECTIONS
-    title = page_title(blocks)
-    pages = blocks.select("page_id").distinct()
-    lines = title.filter(F.col("title") != "").select("page_id", F.lit(0).alias("sec"), F.lit(0).cast("long").alias("pos"),
-                                                      F.col("title").alias("text"))
-    for i, part in enumerate(parts, start=1):
-        lines = lines.unionByName(part.select("page_id", F.lit(i).alias("sec"), "pos", "text"))
-    for i, name in enumerate(names):
-        lines = lines.unionByName(pages.select("page_id", F.lit(i).alias("sec"), F.lit(-1).cast("long").alias("pos"),
-                                               F.lit(f"## {name}").alias("text")))
-    agg = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sec", "pos", "text"))).alias("ls"))
-    return agg.select("page_id", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("content_text"))
+        parts |= {"ARTICLE TITLES": article_titles_of(), "BODY TEXT": paragraphs_of()}
+    return F.array_join(F.concat(*[x for name, part in parts.items() for x in (F.array(F.lit(f"## {name}")), part)]), "\n")
+
+
+def page_text(parsed: DataFrame, profile: str = "page") -> DataFrame:
+    """B8 per page."""
+    return parsed.select("page_id", page_text_of(profile).alias("content_text"))
 
 
 def with_hash(df: DataFrame, text_col: str = "content_text") -> DataFrame:
@@ -155,20 +162,16 @@ def _lines(text: Column) -> Column:
 
 
 def diff_profile(compared: DataFrame, keys=("entity", "page_key")) -> DataFrame:
-    """Lines added and removed between previous and current text, as a multiset difference."""
+    """Lines added and removed between previous and current text, as a multiset difference: one aggregate over the
+    lines of both sides."""
     keys = list(keys)
-    def occ(col_name, side):
-        x = compared.select(*keys, F.posexplode(_lines(F.col(col_name))).alias("i", "line"))
-        w = Window.partitionBy(*keys, "line").orderBy("i")
-        return x.withColumn("k", F.row_number().over(w)).select(*keys, "line", "k", F.lit(side).alias("side"))
-    old = occ("prev_text", "old")
-    new = occ("content_text", "new")
-    added = new.join(old, keys + ["line", "k"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("lines_added"))
-    removed = old.join(new, keys + ["line", "k"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("lines_removed"))
-    base = compared.select(*keys)
-    return base.join(added, keys, "left").join(removed, keys, "left").select(
-        *keys, F.coalesce("lines_added", F.lit(0)).alias("lines_added"),
-        F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"))
+    sides = F.array(F.struct(F.lit(1).alias("side"), _lines(F.col("content_text")).alias("lines")),
+                    F.struct(F.lit(-1).alias("side"), _lines(F.col("prev_text")).alias("lines")))
+    rows = compared.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode_outer("s.lines").alias("line"))
+    balance = rows.groupBy(*keys, "line").agg(F.sum(F.when(F.col("line").isNotNull(), F.col("side")).otherwise(0)).alias("n"))
+    return balance.groupBy(*keys).agg(
+        F.sum(F.greatest("n", F.lit(0))).cast("long").alias("lines_added"),
+        F.sum(F.greatest(-F.col("n"), F.lit(0))).cast("long").alias("lines_removed"))
 
 
 def impact_gate(df: DataFrame, minimum: int = K.IMPACT_GATE_MIN) -> DataFrame:

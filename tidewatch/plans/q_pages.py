@@ -9,20 +9,20 @@ from ..functions import scalars as S
 from ..operators import pages as P
 from ..session import cut_lineage
 from ..sources import tables as T
-from ..sources.html_blocks import page_blocks
+from ..sources.html_blocks import parsed_pages
 from . import sql_bindings as B
 from .registry import query
 
 
-def _blocks(spark, sf_dir):
-    return page_blocks(T.Raw(spark, sf_dir).table("pages"))
+def _parsed(spark, sf_dir):
+    return parsed_pages(T.Raw(spark, sf_dir).table("pages"))
 
 
 @query("b1_page_blocks")
-def b1_page_blocks(spark, sf_dir):
-    """Element rows per page (text length instead of the text itself)."""
-    b = _blocks(spark, sf_dir)
-    return b.select("page_id", "ord", "tag", F.size("articles").alias("depth_articles"), F.length("text").alias("text_len"))
+def b1_page_parsed(spark, sf_dir):
+    """Every element of every page, with its place and the length of its text."""
+    return _parsed(spark, sf_dir).select("page_id", F.inline("elements")).select(
+        "page_id", "ord", "until", "tag", F.size("classes").alias("n_classes"), (F.col("stop") - F.col("start")).alias("text_len"))
 
 
 @query("b2_clean_text", f"SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '{B.WS}+', ' ', 'g'), "
@@ -34,40 +34,37 @@ def b2_clean_text(spark, sf_dir):
 
 @query("b3_headings")
 def b3_headings(spark, sf_dir):
-    return P.headings(_blocks(spark, sf_dir))
+    return P.headings(_parsed(spark, sf_dir))
 
 
 @query("b4_pricing_snippets")
 def b4_pricing_snippets(spark, sf_dir):
-    return P.pricing_snippets(_blocks(spark, sf_dir))
+    return P.pricing_snippets(_parsed(spark, sf_dir))
 
 
 @query("b5_feature_bullets")
 def b5_feature_bullets(spark, sf_dir):
-    return P.feature_bullets(_blocks(spark, sf_dir))
+    return P.feature_bullets(_parsed(spark, sf_dir))
 
 
 @query("b6_article_titles")
 def b6_article_titles(spark, sf_dir):
-    return P.article_titles(_blocks(spark, sf_dir))
+    return P.article_titles(_parsed(spark, sf_dir))
 
 
 @query("b7_body_paragraphs")
 def b7_body_paragraphs(spark, sf_dir):
-    return P.body_paragraphs(_blocks(spark, sf_dir))
+    return P.body_paragraphs(_parsed(spark, sf_dir))
 
 
 def _current(spark, sf_dir):
     """Canonical text of every watched page, with the profile of its layer (B8) and hash."""
     w = T.watched_pages(T.Raw(spark, sf_dir))
-    blocks = cut_lineage(page_blocks(w.select("page_id", "html")))  # one parse for both profiles and all sections
-    text_page = P.page_text(blocks, "page")
-    text_upd = P.page_text(blocks, "updates")
-    meta = w.select("page_id", "entity", "layer", "page_key", "url")
-    cur = meta.join(text_page.withColumnRenamed("content_text", "t_page"), "page_id", "left").join(
-        text_upd.withColumnRenamed("content_text", "t_upd"), "page_id", "left")
-    cur = cur.select("page_id", "entity", "layer", "page_key", "url",
-                     F.when(F.col("layer") == "update", F.col("t_upd")).otherwise(F.col("t_page")).alias("content_text"))
+    parsed = parsed_pages(w.select("page_id", "html"))
+    both = parsed.select("page_id", P.page_text_of("page").alias("t_page"), P.page_text_of("updates").alias("t_upd"))
+    cur = w.select("page_id", "entity", "layer", "page_key", "url").join(both, "page_id", "left").select(
+        "page_id", "entity", "layer", "page_key", "url",
+        F.when(F.col("layer") == "update", F.col("t_upd")).otherwise(F.col("t_page")).alias("content_text"))
     return cut_lineage(P.with_hash(cur))
 
 

@@ -1,11 +1,13 @@
-"""B1: pages -> element rows, the single distributed HTML parse every page operator consumes.
-
-`mapInPandas` runs the standard-library HTML tokenizer over each Arrow batch of pages. Tree rules:
-a start tag opens an element (void elements never do), an end tag closes the nearest open element
-of that name and everything opened after it, a stray end tag is ignored, and nothing is closed
-implicitly. The page title is read before script/style/noscript subtrees are dropped; the text of
-those subtrees (and comments) never reaches any element. One row per element that a page operator
-can use, with its raw descendant text; whitespace cleaning is native (B2).
+"""B1: pages -> one row each with its text and its elements, the single distributed HTML parse.
+
+`mapInPandas` runs the standard-library HTML tokenizer over each Arrow batch of pages. Tree rules: a start tag opens an
+element (void elements never do), `<x/>` opens and closes one, an end tag closes the nearest open element of that name
+and everything opened after it, a stray end tag is ignored, and nothing is closed implicitly. The page title is read
+before script/style/noscript subtrees are dropped; these and comments are part of no element.
+
+A page's text is stored once. An element is an interval of it (`start`, `stop`, in characters) and of the elements'
+order (`ord`, and `until`, the last element inside it), so nesting costs a few numbers and no copy of the text, and
+every element is there, however long. What page operators need of it is cut out by native expressions (operators/pages).
 """
 
 from __future__ import annotations
@@ -15,136 +17,96 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-BLOCK_SCHEMA = ("page_id long, ord int, tag string, classes array<string>, articles array<int>, "
-                "text string")
+PAGE_SCHEMA = ("page_id long, title string, text string, elements array<struct<ord: int, until: int, tag: string, "
+               "classes: array<string>, start: int, stop: int>>")
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
          "track", "wbr", "basefont", "bgsound", "frame", "keygen", "menuitem", "spacer"}
 _REMOVED = {"script", "style", "noscript"}
-# Elements read by B3-B7 (plus any element carrying a class, for the title/headline class rule).
-_USED = {"h1", "h2", "h3", "h4", "div", "span", "p", "td", "li"}
-# Headings and paragraphs are used at any length; every other element only when its cleaned text
-# has at most 200 characters (pricing snippets, feature bullets, class-matched titles). More than
-# 200 non-whitespace characters can never clean down to 200, so such rows are not emitted at all -
-# wrapper elements would otherwise repeat the whole page text at every nesting level.
-_ANY_LENGTH = {"h1", "h2", "h3", "h4", "p"}
-_BOUNDED_MAX = 200
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = []   # open elements: dict(tag, ord, parts, removed, classes, kids)
-        self.out = []
-        self.n = 0
+        self.open: list[dict] = []
+        self.elements: list[dict] = []
+        self.strings: list[str] = []
+        self.at = 0  # length of the text so far
         self.title = None
 
     def handle_starttag(self, tag, attrs):
-        tag = tag.lower()
-        classes = []
-        for k, v in attrs:
-            if k == "class" and v:
-                classes = v.split()
-        parent = self.stack[-1] if self.stack else None
-        if parent is not None:
-            parent["kids"] += 1
+        if self.open:
+            self.open[-1]["kids"] += 1
         if tag in _VOID:
             return
-        removed = tag in _REMOVED or (parent is not None and parent["removed"])
-        self.stack.append(dict(tag=tag, ord=self.n, parts=[], removed=removed, classes=classes, kids=0,
-                               strings=0, articles=[e["ord"] for e in self.stack if e["tag"] == "article"]))
-        self.n += 1
+        removed = tag in _REMOVED or bool(self.open) and self.open[-1]["removed"]
+        classes = next((v.split() for k, v in reversed(attrs) if k == "class" and v), [])
+        e = {"tag": tag, "classes": classes, "removed": removed, "kids": 0, "string": None, "start": self.at, "ord": len(self.elements)}
+        self.open.append(e)
+        self.elements.append(e)
 
     def handle_startendtag(self, tag, attrs):
-        parent = self.stack[-1] if self.stack else None
-        if parent is not None:
-            parent["kids"] += 1
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self._close(self.open.pop())
 
     def handle_endtag(self, tag):
-        tag = tag.lower()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i]["tag"] == tag:
-                while len(self.stack) > i:
-                    self._close(self.stack.pop())
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] == tag:
+                while len(self.open) > i:
+                    self._close(self.open.pop())
                 return
 
     def handle_data(self, data):
-        if not self.stack:
+        if not self.open:
             return
-        top = self.stack[-1]
+        top = self.open[-1]
         top["kids"] += 1
-        top["strings"] += 1
-        if top["tag"] == "title" and top.get("first_string") is None:
-            top["first_string"] = data
-        if top["removed"]:
-            # still part of the title if the title itself sits inside a removed subtree
-            return
-        for e in self.stack:
-            e["parts"].append(data)
+        top["string"] = data
+        if not top["removed"]:
+            self.strings.append(data)
+            self.at += len(data)
 
     def _close(self, e):
+        e["stop"], e["until"] = self.at, len(self.elements) - 1
         if e["tag"] == "title" and self.title is None:
-            # BeautifulSoup's .string: defined only when the element has exactly one child string
-            self.title = e.get("first_string") if (e["kids"] == 1 and e["strings"] == 1) else ""
-        if e["removed"]:
-            return
-        if e["tag"] in _USED or e["classes"]:
-            text = "".join(e["parts"])
-            if e["tag"] not in _ANY_LENGTH and len(text) > _BOUNDED_MAX and len("".join(text.split())) > _BOUNDED_MAX:
-                return
-            self.out.append((e["ord"], e["tag"], e["classes"], e["articles"], text))
+            # a title of several parts has no string of its own
+            self.title = e["string"] if e["kids"] == 1 and e["string"] is not None else ""
 
     def finish(self):
         self.close()
-        while self.stack:
-            self._close(self.stack.pop())
-        return self.out
+        while self.open:
+            self._close(self.open.pop())
 
 
-def parse_page(html: str):
+def parse_page(html: str | None):
+    """(title, text, elements) of a page."""
     b = _Builder()
     b.feed(html or "")
-    rows = b.finish()
-    return rows, (b.title or "")
+    b.finish()
+    kept = [{k: e[k] for k in ("ord", "until", "tag", "classes", "start", "stop")} for e in b.elements if not e["removed"]]
+    return b.title or "", "".join(b.strings), kept
+
 
+PAGES_PER_FRAME = 256
 
-PAGES_PER_FRAME = 64
 
+def _parse(batches):
+    for pdf in batches:
+        for a in range(0, len(pdf), PAGES_PER_FRAME):
+            part = pdf.iloc[a:a + PAGES_PER_FRAME]
+            rows = [parse_page(html) for html in part["html"]]
+            yield pd.DataFrame({"page_id": part["page_id"].to_list(), "title": [r[0] for r in rows],
+                                "text": [r[1] for r in rows], "elements": [r[2] for r in rows]})
 
-def _empty():
-    return {"page_id": [], "ord": [], "tag": [], "classes": [], "articles": [], "text": []}
 
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """B1: (page_id, title, text, elements) of every page.
 
-def _blocks_batches(batches):
-    """Element rows of each Arrow batch of pages (input batches are capped in bytes by Spark); a
-    frame is emitted every PAGES_PER_FRAME pages, so nested element texts never pile up."""
-    for pdf in batches:
-        out = _empty()
-        for n, (pid, html) in enumerate(zip(pdf["page_id"], pdf["html"]), start=1):
-            if n % PAGES_PER_FRAME == 0 and out["page_id"]:
-                yield pd.DataFrame(out)
-                out = _empty()
-            rows, title = parse_page(html)
-            # the title string rides as a synthetic element with ord -1
-            out["page_id"].append(pid)
-            out["ord"].append(-1)
-            out["tag"].append("#title")
-            out["classes"].append([])
-            out["articles"].append([])
-            out["text"].append(title)
-            for o, tag, classes, articles, text in rows:
-                out["page_id"].append(pid)
-                out["ord"].append(o)
-                out["tag"].append(tag)
-                out["classes"].append(classes)
-                out["articles"].append(articles)
-                out["text"].append(text)
-        if out["page_id"]:
-            yield pd.DataFrame(out)
-
-
-def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """B1: one row per usable element (page_id, ord, tag, classes, articles, text) plus one
-    '#title' row (ord -1) holding the page title string."""
+    Parsing costs far more than reading: a table that comes in fewer partitions than there are cores is dealt out first.
+    """
     src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].alias("html"))
-    return src.mapInPandas(_blocks_batches, BLOCK_SCHEMA)
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < cores:
+        src = src.repartition(cores)
+    return src.mapInPandas(_parse, PAGE_SCHEMA)
