@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -70,16 +71,28 @@ COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _words(attrs: dict) -> set[str]:
+@lru_cache(1 << 14)
+def _names(text: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in _NAME.findall(text))
+
+
+def _words(attrs: dict) -> frozenset[str]:
     """The words of an element's classes and id."""
-    return {w.lower() for w in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+    if "class" not in attrs and "id" not in attrs:
+        return frozenset()
+    return _names(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
+
+
+@lru_cache(1 << 14)
+def _classes(text: str) -> str:
+    return ".".join(sorted({re.sub(r"\d+", "", c) for c in text.split()}))
 
 
 def _style(tag: str, attrs: dict) -> str:
     """What an element is called in paths: its tag and classes, without numbers."""
-    if tag in ("html", "body", *MAIN):
+    if tag in ("html", "body", *MAIN) or not attrs.get("class"):
         return tag
-    return ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in (attrs.get("class") or "").split()})])
+    return f"{tag}.{_classes(attrs['class'])}"
 
 
 def _named(tag: str, attrs: dict, in_main: bool) -> bool:
