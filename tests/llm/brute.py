@@ -161,3 +161,50 @@ def ranked(docs, items, top=50):
                 found.append((-score, d is None, d or 0))
         out += [(i, k + 1, None if null else d, -s) for k, (s, null, d) in enumerate(sorted(found)[:top])]
     return out
+
+
+def contaminated(text, items, window=10):
+    """Whether a window of an item occurs in a text."""
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    wanted = defaultdict(set)
+    for t in items:
+        w = words(t)
+        for i in range(max(len(w) - window + 1, 1) if w else 0):
+            wanted[len(w[i:i + window])].add(tuple(w[i:i + window]))
+    mine = words(text)
+    return any(tuple(mine[i:i + n]) in found for n, found in wanted.items() for i in range(len(mine) - n + 1))
+
+
+def drawn(rows, temper=0.5, fraction=0.5, seed=17):
+    """Ids of (doc_id, text, source, lang) rows that are drawn: raked cells, water filling, one hash for each id."""
+    def topic(t):
+        return ("empty" if not t else "table" if 20 * t.count("|") >= len(t) else "list" if 200 * t.count("\n") >= len(t) else "prose")
+
+    cell = {d: (s or "(none)", g or "(none)", topic(t or "")) for d, t, s, g in rows}
+    tokens = Counter()
+    for d, t, _, _ in rows:
+        tokens[cell[d]] += -(-len((t or "").encode()) // 4)
+    total, weight = sum(tokens.values()), {c: float(n) for c, n in tokens.items()}
+    shares = []
+    for k in range(3):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[k]] += n
+        parts = {v: n**temper for v, n in sums.items()}
+        shares.append({v: p / sum(parts.values()) for v, p in parts.items()})
+    for _ in range(60):
+        for k in range(3):
+            have = Counter()
+            for c, w in weight.items():
+                have[c[k]] += w
+            weight = {c: w * shares[k][c[k]] * total / have[c[k]] if have[c[k]] else 0.0 for c, w in weight.items()}
+    ratio = {c: weight[c] / n if n else 0.0 for c, n in tokens.items()}
+    scale, before = fraction, None
+    while scale != before:
+        full = sum(n for c, n in tokens.items() if ratio[c] * scale >= 1)
+        rest = sum(weight[c] for c in tokens if ratio[c] * scale < 1)
+        before, scale = scale, max(scale, (fraction * total - full) / rest) if rest else scale
+    chance = lambda d: int(hashlib.md5(f"{d}:{seed}".encode()).hexdigest()[:13], 16) / 16**13
+    return {d for d in cell if chance(d) < min(1.0, ratio[cell[d]] * scale)}

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from conftest import SF_MID, SF_SMALL
@@ -434,3 +435,68 @@ def test_mixing_edges(edge, empty, monkeypatch):
 
 def test_items_digest():
     assert decontam.items_digest(["10", "2"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+# ---------------------------------------------------------------- filters and verdicts
+
+def test_filters_leave_the_callers_columns(spark, edge):
+    clash = "doc_id long, text string, lang string, source string, language string, held_out long, scan string, _more int, topic string, n_tokens string, probability string, sampled string, _row string, _own int"
+    rows = [(r[0], r[1], r[2], r[3], "mine", 7, "s", 1, "t", "n", "p", "x", "r", 3) for r in edge_rows()]
+    df = spark.createDataFrame(rows, clash)
+    items = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
+    for left in (langid.known(df), decontam.decontaminate(df, items), mixing.draw_documents(df), minhash.deduplicate(df)):
+        assert left.columns == df.columns
+        got = left.collect()
+        assert got and {tuple(r) for r in got} <= set(rows)
+    none = df.limit(0)
+    for left in (langid.known(none), decontam.decontaminate(none, items), mixing.draw_documents(none), minhash.deduplicate(none)):
+        assert left.columns == df.columns and left.count() == 0
+
+
+def test_raking_meets_its_targets_or_says_so(spark):
+    cells = spark.createDataFrame([(s, g, "p", float(t)) for s, g, t in (("a", "x", 10), ("a", "y", 30), ("b", "x", 50), ("b", "y", 5), ("c", "y", 40))],
+                                  "source string, lang string, topic string, tokens double")
+    got = mixing.rake(cells, targets={"source": {"a": 1, "b": 1, "c": 2}, "lang": {"x": 1, "y": 3}}).toPandas()
+    for key, want in (("source", {"a": 0.25, "b": 0.25, "c": 0.5}), ("lang", {"x": 0.25, "y": 0.75})):
+        share = got.groupby(key).weight.sum() / 135
+        assert all(abs(share[k] - v) < 1e-7 for k, v in want.items())
+    with pytest.warns(UserWarning, match="cannot meet"):
+        mixing.rake(cells, targets={"source": {"c": 1}, "lang": {"x": 1, "y": 1}})
+
+
+def test_url_features_equal_a_plain_count(spark):
+    """Lexical features and out-of-fold suffix shares, restated in plain Python; the trees on hosts they did not see."""
+    from math import log1p, log2
+
+    rng = random.Random(9)
+    rows = []
+    for h in range(60):  # hosts ending in .bad. are blocked by their long digit paths, the others allowed
+        bad = h % 2
+        name = f"h{h}.{'bad' if bad else 'good'}{h % 7}.zz"
+        for k in range(4):
+            path = "/" + "/".join(str(rng.randrange(10**6)) if bad else rng.choice(["news", "about", "story"]) for _ in range(3))
+            rows.append((100 * h + k, f"https://{name}{path}" + ("?a=1&b=2#x" if k == 3 else "")))
+    rules = [("block" if h % 2 else "allow", f"h{h}.{'bad' if h % 2 else 'good'}{h % 7}.zz", "/") for h in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df, rules).collect()}
+    unseen = [r for r in got.values() if r["rule"] is None]
+    right = sum((r["verdict"] == "block") == bool(r["page_id"] // 100 % 2) for r in unseen)
+    assert len(unseen) == 80 and right >= 0.95 * len(unseen)  # both verdicts inside one last label
+    url = "https://h3.bad3.zz/1/22?a=1&b=2#x"
+    one = spark.createDataFrame([(url,)], "url string")
+    host, path = urls.parts(one["url"])
+    made = one.select(*[c.alias(n) for n, c in urls._features(one["url"], host, path).items()]).first().asDict()
+    entropy = -sum(url.count(c) / len(url) * log2(url.count(c) / len(url)) for c in set(url))
+    want = {"url_chars": len(url), "host_chars": 10, "path_chars": 5, "depth": 2, "labels": 3, "digit_ratio": 7 / len(url), "n_params": 2,
+            "n_hyphens": 0, "n_marks": 5, "has_fragment": 1, "secure": 1, "suffix_1": "zz", "suffix_2": "bad3.zz"}
+    assert all(made[k] == v for k, v in want.items()) and abs(made["entropy"] - entropy) < 1e-9
+    seen = spark.createDataFrame([("a.x.zz", "block"), ("a.x.zz", "allow"), ("b.x.zz", "block"), ("c.y.zz", None), ("c.y.zz", None)], "host string, _action string")
+    table = urls.suffix_counts(seen, 1)
+    rows = seen.distinct().select(F.lit("zz").alias("suffix_1"), urls.fold(F.col("host")).alias("f"), "host").distinct()
+    folds = {r["host"]: r["f"] for r in rows.collect()}
+    share = {"a.x.zz": 0.5, "b.x.zz": 1.0}
+    for r in urls._with_suffixes(rows, {1: table}, F.col("f")).collect():
+        rest = [h for h in folds if folds[h] != folds[r["host"]]]
+        known = [h for h in rest if h in share]
+        assert abs(r["seen_1"] - log1p(len(rest))) < 1e-9
+        assert abs(r["blocked_1"] - (sum(share[h] for h in known) + 1) / (len(known) + 2)) < 1e-9

@@ -82,3 +82,40 @@ def test_pipeline_stages(spark, tmp_path):
                 crc = zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
                 assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc)
                 at += len(ids)
+
+
+def test_pipeline_run_against_plain_decisions(spark):
+    """run() as a whole: the later stages decided in plain Python from what language ID keeps."""
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm import langid
+    from tidewatch.llm.tokens import tokenizer_path
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
+    rows = {r["doc_id"]: r for r in langid.known(docs).collect()}
+    kept = {d for d, v in brute.near_duplicates([(d, r["text"]) for d, r in rows.items()]).items() if v[2]}
+    kept = {d for d in kept if not brute.contaminated(rows[d]["text"], items)}
+    kept = brute.drawn([(d, rows[d]["text"], rows[d]["source"], rows[d]["lang"]) for d in sorted(kept)])
+    lib, at = Tokenizer.from_file(tokenizer_path()), 0
+    got = corpus_pipeline.run(spark, SF_SMALL).orderBy("doc_id").collect()
+    assert {r["doc_id"] for r in got} == kept and len(got) == len(kept) > 0
+    for r in got:
+        ids = [*lib.encode(rows[r["doc_id"]]["text"] or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+        at += len(ids)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, clashing columns; and no documents at all."""
+    text = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("lang = 'en'").first()["text"]
+    rows = [(k, f"{text} number {k} " + " ".join(f"w{k}x{j}" for j in range(60)), "en", "s", k, "mine") for k in range(40)]
+    rows += [rows[3], (None, text + " without a name", "en", "s", 1, "mine"), (50, None, "en", None, None, None), (51, "", None, "s", 1, "mine")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, language string"
+    for name, some in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+        assert len(ids) == len(set(ids)) and set(ids) <= {r[0] for r in some} and (not some) == (not got)

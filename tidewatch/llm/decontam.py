@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import untouched
 from .worker import Same, held
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -170,8 +171,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """Documents in which no window of any item occurs, with their own columns only."""
-    return scan(docs, items, **kw).where(F.col("scan.n_hit") == 0).select(*docs.columns)
+    """Documents in which no window of any item occurs, as they are."""
+    return untouched(docs, ("scan", "_more", "_r"), lambda rows: scan(rows, items, **kw).where(F.col("scan.n_hit") == 0))
 
 
 def items_digest(ids) -> str:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import untouched
 from .worker import held
 
 ORDER = 4
@@ -371,3 +372,8 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_lang: int =
             F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("xent"),
             F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("rejected")))
     return df.withColumn("language", classifier(model)(F.col("text")))
+
+
+def known(docs: DataFrame, **kw) -> DataFrame:
+    """The documents whose language is known to the models, as they are."""
+    return untouched(docs, ("held_out", "language"), lambda rows: identify(rows, **kw).where("NOT language.rejected"))

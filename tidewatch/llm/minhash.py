@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import cut_lineage
 
 from .components import components
+from .tables import untouched
 from .worker import held
 
 WORDS = 5
@@ -40,7 +41,7 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 LEADERS = 4  # further leaders of a bucket that the first one leaves in several components
 BLOCK, AGAINST = 256, 4096  # nodes of a block in the last step, and of what a block is compared with at once
-UNIT_BYTES = 1 << 20  # text hashed at once
+UNIT_BYTES = 1 << 18  # text hashed at once
 
 _MASK = 0xFFFFFFFFFFFFFFFF
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -297,10 +298,13 @@ def _split(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns."""
+    """One document of each component, as it is."""
     found = near_duplicates(docs).where("kept")
     keep = found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return named.withColumn("_row", first).where("_row = 1").select(*docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull()).select(*docs.columns))
+
+    def choose(rows: DataFrame) -> DataFrame:
+        order = ["text", *[F.col(f"`{c}`") for c in rows.columns if c not in ("doc_id", "text")]]
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+        return rows.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1")
+
+    return untouched(docs, ("_row",), choose).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,10 +1,14 @@
 """Mixing sources to target weights: iterative proportional fitting and calibrated sampling, all native.
 
 1. Documents are aggregated into cells of (source, language, topic) with their tokens.
-2. Raking: the cells' weights are scaled to each target marginal in turn, `ROUNDS` times.
+2. Raking: the cells' weights are scaled to each target marginal in turn, until every marginal is within `TOLERANCE`
+   of its target (as a share of all tokens). Targets that no weights of the cells can meet are reported by a warning.
 3. A cell's documents are kept with probability min(1, scale * weight / tokens); the scale makes the
    expected tokens equal `fraction` of all (water filling: cells that reach 1 leave their rest to
-   the others). A document's draw is a hash of its doc_id, so every run picks the same documents.
+   the others, until no further cell does). A document's draw is a hash of its doc_id, so every run picks the same documents.
+
+Two stand-ins keep this operator native: a document's tokens are its bytes / 4, rounded up, and its topic is the form
+of its text (empty, table, list or prose).
 
 Only the cells are raked; their number is the product of the label sets, not of the documents, and
 the raked cells are broadcast only while they are few, else joined by shuffle.
@@ -20,17 +24,21 @@ replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import cut_lineage
 
+from .tables import untouched
+
 KEYS = ("source", "lang", "topic")
-ROUNDS = 10
+TOLERANCE = 1e-8
+ROUNDS = 5  # of raking between two looks at the marginals
 TEMPER = 0.5
 FRACTION = 0.5
 SEED = 17
-STEPS = 12  # of water filling
 BROADCAST_CELLS = 50_000
 
 
@@ -68,19 +76,28 @@ def _targets(cells: DataFrame, key: str, given: dict | None) -> DataFrame:
     return parts.select(key, (F.col("part") / F.lit(total)).alias(f"share_{key}"))
 
 
-def rake(cells: DataFrame, keys=KEYS, targets: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with `weight`: their tokens scaled to every marginal in turn, `rounds` times."""
+def rake(cells: DataFrame, keys=KEYS, targets: dict | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with `weight`: their tokens scaled to every marginal in turn, until all are met."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     for key in keys:
         cells = cells.join(_targets(cells, key, (targets or {}).get(key)), key)
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for key in keys:  # windows over cells, never over documents
-            have = F.sum("weight").over(Window.partitionBy(key))
-            cells = cells.withColumn("weight", F.when(
-                have > 0, F.col("weight") * F.col(f"share_{key}") * F.lit(total) / have).otherwise(F.lit(0.0)))
+    have = {key: F.sum("weight").over(Window.partitionBy(key)) for key in keys}  # windows over cells, never over documents
+    before = float("inf")
+    while True:
+        for _ in range(ROUNDS):
+            for key in keys:
+                cells = cells.withColumn("weight", F.when(
+                    have[key] > 0, F.col("weight") * F.col(f"share_{key}") * F.lit(total) / have[key]).otherwise(F.lit(0.0)))
         cells = cut_lineage(cells)
-    return cells
+        away = cells.select(*[F.abs(have[key] - F.col(f"share_{key}") * F.lit(total)).alias(key) for key in keys])
+        off = max((x or 0.0 for x in away.agg(*[F.max(key) for key in keys]).first()), default=0.0)
+        if off <= tolerance * total:
+            return cells
+        if off > 0.99 * before:
+            warnings.warn(f"the cells cannot meet the targets: a marginal stays {off / total:.2%} of all tokens away")
+            return cells
+        before = off
 
 
 def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
@@ -88,14 +105,12 @@ def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
     cells = cells.withColumn("ratio", ratio)
     budget = fraction * float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    scale = fraction
-    for _ in range(STEPS):
+    scale, before = fraction, None
+    while scale != before:  # every step but the last fills a further cell
         full = F.col("ratio") * F.lit(scale) >= 1
         row = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"),
                         F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
-        before, scale = scale, (budget - (row["full"] or 0)) / row["open"] if row["open"] else scale
-        if scale == before:
-            break
+        before, scale = scale, max(scale, (budget - (row["full"] or 0)) / row["open"]) if row["open"] else scale
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
 
 
@@ -114,3 +129,9 @@ def mix(docs: DataFrame, targets: dict | None = None, fraction: float = FRACTION
     return (out.withColumn("sampled", draw(seed) < F.col("probability"))
             .select(*[c for c in docs.columns if c not in ("topic", "n_tokens", "probability", "sampled")],
                     "topic", "n_tokens", "probability", "sampled"))
+
+
+def draw_documents(docs: DataFrame, **kw) -> DataFrame:
+    """The documents drawn, as they are."""
+    made = ("topic", "n_tokens", "probability", "sampled", *(f"_{k}" for k in KEYS))
+    return untouched(docs, made, lambda rows: mix(rows, **kw).where("sampled"))

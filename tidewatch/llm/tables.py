@@ -7,8 +7,10 @@ when the driver happens to collect its garbage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_dir
 
@@ -33,3 +35,17 @@ def free(*tables: DataFrame) -> None:
     """Delete stored tables; nothing may read them any more."""
     for table in tables:
         delete_folder(table.sparkSession, table._stored_at)
+
+
+def untouched(rows: DataFrame, made: tuple[str, ...], choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `choose` leaves, with their own columns as they are, though it makes columns of the names `made`."""
+    taken, aside = set(rows.columns) | set(made), {}
+    for c in rows.columns:
+        if c in made:
+            name = f"_{c}"
+            while name in taken:
+                name = f"_{name}"
+            taken.add(name)
+            aside[c] = name
+    left = choose(rows.withColumnsRenamed(aside))
+    return left.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in rows.columns])
