@@ -17,7 +17,7 @@ from tidewatch.session import checkpoint_dir
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known to the models (null and letterless texts go)."""
-    return langid.identify(docs).where("NOT language.rejected").select(*docs.columns)
+    return langid.known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with probabilities that meet the source, language and topic targets."""
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    return mixing.draw_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Models, graph components and files are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Models, graph components and files are beyond SQL; tests/llm compares run() with plain decisions of every stage.
 ORACLE_SQL = None
 
 
