@@ -43,3 +43,25 @@ def test_shorten_description(spark):
         t = d.strip().replace("\n", " ")
         want.append(t[:200].rsplit(" ", 1)[0] + "…" if len(t) > 200 else t)
     assert got == want
+
+
+def test_checked_load_counts_while_it_writes(spark, tmp_path):
+    df = spark.createDataFrame([("1", "2024-01-01"), ("x", "2024-01-01"), (None, "bad"), ("4", None)] * 50, "a string, b string")
+    loaded, counts = A.load_checked(df, {"a": "int", "b": "date"}, f"{tmp_path}/t")
+    assert counts == {"total": 200, "failed": 100, "loaded": 100}
+    assert sorted({(r.a, str(r.b)) for r in loaded.collect()}) == [(1, "2024-01-01"), (4, "None")]
+    _, counts = A.load_checked(df.limit(0), {"a": "int"}, f"{tmp_path}/none")
+    assert counts == {"total": 0, "failed": 0, "loaded": 0}
+
+
+def test_ledger_updates_a_stored_run(spark):
+    runs = spark.createDataFrame([(1, "s1", "f1"), (2, "s2", "f2"), (None, "s0", "f0")], "run_id long, at string, done string")
+    errors = spark.createDataFrame([(2, k, f"e{k}") for k in range(250)], "run_id long, seq long, error string")
+    ledger = A.ledger_rows(runs, "start", "at").unionByName(A.ledger_rows(errors, "error", seq="seq", text="error"))
+    assert {r.status for r in A.run_states(ledger).collect()} == {"running"}
+    ledger = ledger.unionByName(A.ledger_rows(runs.where("run_id is not null"), "finish", "done"))
+    assert {r.run_id: (r.status, r.n_errors) for r in A.run_states(ledger).collect()} == {
+        1: ("completed", 0), 2: ("completed_with_errors", 250), None: ("running", 0)}
+    assert [(r.no, r.error) for r in A.run_errors(ledger).orderBy("no").collect()] == [(k + 1, f"e{k}") for k in range(250)]
+    texts = [r.details for r in A.error_texts(ledger).orderBy("chunk").collect()]
+    assert "; ".join(texts) == "; ".join(f"e{k}" for k in range(250)) and len(texts) == 3

@@ -33,6 +33,20 @@ def test_lenient_timestamp_zoo(spark):
     assert got == [want for _, want in zoo]
 
 
+def test_lenient_timestamp_reads_mail_headers(spark):
+    from datetime import timezone
+    from email.utils import parsedate_to_datetime
+
+    mails = ["Mon, 02 Jan 2023 10:00:00 EST", "2 Jan 2023 10:00:00 PDT", "02 Jan 23 10:00:00 GMT", "02 Jan 99 10:00 +0130", "Mon,  2 Jan 2023 10:00:00",
+             "Mon, 02 Jan 2023 10:00:00 -0000", "2 Jan 2023 10:00:00 cst", "2 Jan 2023 10:00:00 UT", "2 Jan 68 23:59:59 MDT"]
+    want = [parsedate_to_datetime(m) for m in mails]
+    want = [(w.astimezone(timezone.utc) if w.tzinfo else w).replace(tzinfo=None) for w in want]
+    isos = {"2023-01-02T10:00:00+0000": datetime(2023, 1, 2, 10), "2023-01-02T10:00:00-0530": datetime(2023, 1, 2, 15, 30),
+            "2023-01-02 10:00": datetime(2023, 1, 2, 10), "2023-13-02": None, "1 Foo 2023 10:00:00 GMT": None}
+    df = spark.createDataFrame([(k, m) for k, m in enumerate([*mails, *isos])], "k int, s string")
+    assert [r.t for r in df.orderBy("k").select(S.lenient_timestamp("s").alias("t")).collect()] == want + list(isos.values())
+
+
 def test_clean_and_normalize(spark):
     texts = ["  a  b\tc\n", "Headline one - Reuters", "Well-known fact", "no suffix", "", None, " - Only",
              "A  B - C - Source Name"]

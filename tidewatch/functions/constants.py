@@ -206,3 +206,20 @@ BRIEF_CHANGE_CHARS = 220
 BRIEF_COMPLAINT_CHARS = 130
 BRIEF_NEWS_CHARS = 110
 BRIEF_MATRIX_CHARS = 160
+
+# ---------------------------------------------------------------------------------------------
+# FIXED VALUES - zone names of mail headers (RFC 2822, section 4.3)
+# ---------------------------------------------------------------------------------------------
+
+MAIL_ZONES = {
+    "AST": "-0400",
+    "ADT": "-0300",
+    "EST": "-0500",
+    "EDT": "-0400",
+    "CST": "-0600",
+    "CDT": "-0500",
+    "MST": "-0700",
+    "MDT": "-0600",
+    "PST": "-0800",
+    "PDT": "-0700",
+}

@@ -145,16 +145,25 @@ def _ts(text: Column, fmt: str) -> Column:
 
 
 def lenient_timestamp(col) -> Column:
-    """K2: RFC-2822 (GMT or numeric offset, optional weekday), ISO-8601 (no offset = UTC),
-    'yyyy-MM-dd HH:mm:ss', date only; anything else NULL."""
+    """K2: RFC-2822 as mail headers write it (weekday optional, years of two digits, numeric or named zones; a zone that
+    is missing or unknown is UTC), ISO-8601 (offsets with or without a colon, none = UTC), 'yyyy-MM-dd HH:mm:ss', date only;
+    anything else NULL."""
     raw = F.trim(_c(col))
-    rfc = F.regexp_replace(raw, "^[A-Za-z]{3},\\s*", "")
-    rfc_zone = F.regexp_replace(rfc, "\\s+(GMT|UT|UTC|Z)$", " +0000")
+    rfc = F.regexp_replace(F.regexp_replace(raw, "^[A-Za-z]{3},\\s*", ""), "\\s+", " ")
+    short = F.regexp_extract(rfc, "^\\d{1,2} [A-Za-z]{3} (\\d{2}) ", 1)
+    century = F.when(short.try_cast("int") > 68, "19").otherwise("20")
+    rfc = F.when(short != "", F.concat(F.regexp_extract(rfc, "^(\\d{1,2} [A-Za-z]{3} )", 1), century, F.regexp_extract(
+        rfc, "^\\d{1,2} [A-Za-z]{3} (.*)$", 1))).otherwise(rfc)
+    offset = F.lit("+0000")
+    for zone, value in K.MAIL_ZONES.items():
+        offset = F.when(F.upper(F.regexp_extract(rfc, " ([A-Za-z]+)$", 1)) == zone, value).otherwise(offset)
+    rfc = F.when(rfc.rlike("[+-]\\d{4}$"), rfc).otherwise(F.concat(F.regexp_replace(rfc, " [A-Za-z]+$", ""), F.lit(" "), offset))
+    iso = F.regexp_replace(raw, "([+-]\\d{2})(\\d{2})$", "$1:$2")
     parsed = F.coalesce(
-        _ts(rfc_zone, "d MMM yyyy HH:mm:ss Z"),
-        _ts(rfc_zone, "d MMM yyyy HH:mm Z"),
-        F.when(raw.rlike("^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,6})?)?)?(Z|[+-]\\d{2}:\\d{2})?$"),
-               raw.try_cast("timestamp")),
+        _ts(rfc, "d MMM yyyy HH:mm:ss Z"),
+        _ts(rfc, "d MMM yyyy HH:mm Z"),
+        F.when(raw.rlike("^\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,6})?)?(Z|[+-]\\d{2}:?\\d{2})?)?$"),
+               F.when(raw.rlike("T.*[+-]\\d{4}$| .*[+-]\\d{4}$"), iso).otherwise(raw).try_cast("timestamp")),
     )
     return F.when((raw.isNull()) | (raw == ""), F.lit(None).cast("timestamp")).otherwise(parsed)
 

@@ -6,7 +6,7 @@ old DataFrame -> new DataFrame; callers persist the result as a fresh versioned
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -264,6 +264,24 @@ def bulk_load(df: DataFrame, target: dict[str, str]) -> tuple[DataFrame, DataFra
     return typed.filter(F.col("status") == "ok").drop("status"), counts
 
 
+def load_checked(df: DataFrame, target: dict[str, str], path: str) -> tuple[DataFrame, dict]:
+    """Write the rows whose casts succeed, and check the totals: rows are counted by metrics observed in the writing
+    pass (no second scan of the source), and the written table must hold exactly those that did not fail."""
+    cast = {c: F.col(c).try_cast(t) for c, t in target.items()}
+    failed = F.lit(False)
+    for c in target:
+        failed = failed | (F.col(c).isNotNull() & cast[c].isNull())
+    seen = Observation()
+    typed = df.select(*[cast[c].alias(c) for c in target], failed.alias("_failed")).observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("_failed"), 1)).alias("failed"))
+    typed.filter(~F.col("_failed")).drop("_failed").write.parquet(path)
+    loaded = df.sparkSession.read.parquet(path)
+    counts = {**seen.get, "loaded": loaded.count()}  # from the files' footers
+    if counts["loaded"] != counts["total"] - counts["failed"]:
+        raise ValueError(f"the load lost or repeated rows: {counts}")
+    return loaded, counts
+
+
 ERRORS_PER_CHUNK = 100
 _LEDGER = ["run_id", "kind", "seq", "at", "text"]
 
