@@ -105,3 +105,25 @@ def test_feeds_malformed_and_atom(spark):
     assert [(r.video_id, r.url, r.thumbnail_url) for r in v] == [("v1", "https://v/1", "https://img/1.jpg")]
     want = ("word " * 60).strip()[:200].rsplit(" ", 1)[0] + "…"
     assert v[0].description == want
+
+
+def test_an_answer_is_parsed_once(spark):
+    """Neither a filter on the reasons nor the fields named above it repeat the parse."""
+    import contextlib
+    import io
+
+    p = D.valid(D.parse_answers(_answers(spark, ["{}"]), D.COMPARISON_ANSWER)).select("comparisons", "top_threats", "reasons")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        p.explain(mode="simple")
+    assert buf.getvalue().count("try_parse_json") == 1 or buf.getvalue().lower().count("parsejson") == 1, buf.getvalue()
+
+
+def test_scan_summary_lists_every_error(spark):
+    from tidewatch.operators import summaries as M
+
+    scans = spark.createDataFrame([("E0", 1), ("E1", 1), ("E0", 2)], "entity string, scan int")
+    rows = spark.createDataFrame([(1,), (1,)], "scan int")
+    errors = spark.createDataFrame([(1, 9, "late"), (1, 3, "early"), (7, 1, "no such scan")], "scan int, seq long, error string")
+    got = sorted(tuple(r) for r in M.scan_summary(scans, rows, rows, errors).collect())
+    assert got == [(1, 2, 2, 2, 2, ["early", "late"]), (2, 1, 0, 0, 0, [])]

@@ -68,6 +68,11 @@ def answer_type(spec: dict) -> str:
     return _SIMPLE[spec["kind"]]
 
 
+def _with(value: Column, then) -> Column:
+    """`then(value)`, where the value is computed once, however often the result names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _reasons(value: Column, spec: dict, path: Column | None) -> Column:
     """Everything in which a VARIANT departs from its specification, as `fault:path`."""
     def say(fault: str, *more: Column) -> Column:
@@ -87,20 +92,29 @@ def _reasons(value: Column, spec: dict, path: Column | None) -> Column:
         return F.when(kind == "BIGINT", none).otherwise(say("type"))
     if spec["kind"] == "number":
         return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), none).otherwise(say("type"))
+    # the kinds of lists and records are told apart by a cast: their full schema is that of everything below
     if spec["kind"] == "items":
-        parts = F.try_variant_get(value, "$", "array<variant>")
         at = path if path is not None else F.lit("")
-        found = F.flatten(F.transform(parts, lambda x, i: _reasons(
-            x, spec["of"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
-        few = F.when(F.size(parts) < spec["least"], say("few")).otherwise(none)
-        return F.when(kind.startswith("ARRAY"), F.concat(few, found)).otherwise(say("type"))
-    keys = F.json_object_keys(F.to_json(value))
-    faults = [F.when(F.array_contains(keys, f), _reasons(F.try_variant_get(value, f"$.{f}", "variant"), sub, below(f)))
-              .otherwise(F.array(F.concat(F.lit("missing:"), below(f)))) for f, sub in spec["fields"].items()]
-    extra = F.array_except(keys, F.array(*map(F.lit, spec["fields"])))
+
+        def of_list(parts: Column) -> Column:
+            found = F.flatten(F.transform(parts, lambda x, i: _reasons(
+                x, spec["of"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+            few = F.when(F.size(parts) < spec["least"], say("few")).otherwise(none)
+            return F.when(parts.isNotNull(), F.concat(few, found)).otherwise(say("type"))
+
+        return _with(F.try_variant_get(value, "$", "array<variant>"), of_list)
     where = [] if path is None else [F.lit(".")]
-    faults.append(F.when(F.size(extra) > 0, say("extra", *where, F.array_join(F.array_sort(extra), ","))).otherwise(none))
-    return F.when(kind.startswith("OBJECT"), F.concat(*faults)).otherwise(say("type") if path is not None else F.array(F.lit("invalid_json")))
+
+    def of_record(members: Column) -> Column:
+        keys = F.map_keys(members)
+        faults = [F.when(F.map_contains_key(members, f), _reasons(members[f], sub, below(f)))
+                  .otherwise(F.array(F.concat(F.lit("missing:"), below(f)))) for f, sub in spec["fields"].items()]
+        extra = F.array_except(keys, F.array(*map(F.lit, spec["fields"])))
+        faults.append(_with(extra, lambda e: F.when(
+            F.size(e) > 0, say("extra", *where, F.array_join(F.array_sort(e), ","))).otherwise(none)))
+        return F.when(members.isNotNull(), F.concat(*faults)).otherwise(say("type") if path is not None else F.array(F.lit("invalid_json")))
+
+    return _with(F.try_variant_get(value, "$", "map<string, variant>"), of_record)
 
 
 def parse_answers(df: DataFrame, spec: dict, json_col: str = "answer") -> DataFrame:
@@ -108,11 +122,14 @@ def parse_answers(df: DataFrame, spec: dict, json_col: str = "answer") -> DataFr
 
     `reasons` (empty: valid) names invalid JSON, missing and extra keys, wrong types (a JSON null, a number for a string
     or a quoted number for an integer is one), values outside an enumeration and lists that are too short, at
-    any depth, with their paths. The record's fields are added in their types.
+    any depth, with their paths. The record's fields are added in their types. The answer comes out of a generator, so that
+    no filter or projection above repeats the parse.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(F.col(json_col)))
-    fields = [F.try_variant_get(F.col("_v"), f"$.{k}", answer_type(v)).alias(k) for k, v in spec["fields"].items()]
-    return parsed.select(*df.columns, *fields, _reasons(F.col("_v"), spec, None).alias("reasons"))
+    def of_answer(v: Column) -> Column:
+        fields = [F.try_variant_get(v, f"$.{k}", answer_type(t)).alias(k) for k, t in spec["fields"].items()]
+        return F.struct(*fields, _reasons(v, spec, None).alias("reasons"))
+
+    return df.select(*df.columns, F.inline(F.transform(F.array(F.try_parse_json(F.col(json_col))), of_answer)))
 
 
 def valid(df: DataFrame) -> DataFrame:

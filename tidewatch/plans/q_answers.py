@@ -88,11 +88,16 @@ def _field(name: str, good: str, variants: list) -> str:
 
 
 def _answers(spark, sf_dir, kind: str):
-    """(id, answer): every 17th is cut off in an open list, every 31st has another key."""
+    """(id, answer): every 17th is cut off in an open list, every 31st has another key. An answer costs far more to write and
+    parse than its event's bytes to read, so events that come in few partitions are dealt to all cores first."""
     _, fields, _, _ = KINDS[kind]
     parts = [f"CASE WHEN event_id % 31 = 0 THEN '\"zz\":1' END", *(_field(n, *f) for n, f in fields.items())]
     whole = f"concat('{{', array_join(array_compact(array({', '.join(parts)})), ','), '}}')"
-    return T.Raw(spark, sf_dir).table("events").select(
+    events = T.Raw(spark, sf_dir).table("events").select("event_id")
+    cores = 4 * spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
+    return events.select(
         F.col("event_id").alias("id"), F.expr(f"CASE WHEN event_id % 17 = 0 THEN concat('[', substring({whole}, 1, 12)) ELSE {whole} END").alias("answer"))
 
 
