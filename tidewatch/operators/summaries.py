@@ -114,12 +114,18 @@ def comparison_context(scans: DataFrame, roster: DataFrame, changes: DataFrame,
 
 
 def scan_summary(scans: DataFrame, changes: DataFrame, news: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per scan the entities scanned, total changes, total news and errors (listed by `ingest.run_errors`)."""
+    """Per scan the entities scanned, total changes, total news, and its errors (scan, seq, error): their number and
+    the list of their texts by seq."""
     n_ent = scans.groupBy("scan").agg(F.countDistinct("entity").alias("entities_scanned"))
     out = n_ent
-    for rows, name in ((changes, "changes_found"), (news, "news_found"), (errors, "errors_found")):
+    for rows, name in ((changes, "changes_found"), (news, "news_found")):
         out = out.join(rows.groupBy("scan").agg(F.count(F.lit(1)).alias(name)), "scan", "left")
-    return out.select("scan", "entities_scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("changes_found", "news_found", "errors_found")])
+    listed = errors.groupBy("scan").agg(F.count(F.lit(1)).alias("errors_found"),
+                                        F.array_sort(F.collect_list(F.struct(
+                                            F.col("seq").isNull().alias("_last"), "seq", "error"))).alias("_errors"))
+    out = out.join(listed, "scan", "left")
+    return out.select("scan", "entities_scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("changes_found", "news_found", "errors_found")],
+                      F.coalesce(F.transform("_errors", lambda x: x["error"]), F.array().cast("array<string>")).alias("errors"))
 
 
 RATING_MARKS = {"green": "(+)", "yellow": "(~)", "red": "(-)"}

@@ -115,15 +115,19 @@ def e9_comparison_context(spark, sf_dir):
 
 @query("e10_scan_summary", B.with_ctes(
     "SELECT s.scan, s.n AS entities_scanned, coalesce(c.n, 0) AS changes_found, coalesce(w.n, 0) AS news_found, "
-    "coalesce(e.n, 0) AS errors_found FROM (SELECT scan, count(DISTINCT entity) AS n FROM scans GROUP BY scan) s "
+    "coalesce(e.n, 0) AS errors_found, coalesce(e.errs, []) AS errors FROM (SELECT scan, count(DISTINCT entity) AS n FROM scans GROUP BY scan) s "
     "LEFT JOIN (SELECT scan, count(*) AS n FROM ch GROUP BY scan) c ON c.scan = s.scan "
     "LEFT JOIN (SELECT scan, count(*) AS n FROM nw GROUP BY scan) w ON w.scan = s.scan "
-    "LEFT JOIN (SELECT CAST(ts AS DATE) AS scan, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e ON e.scan = s.scan",
+    "LEFT JOIN (SELECT CAST(ts AS DATE) AS scan, count(*) AS n, list('E' || CAST(user_id % 8 AS VARCHAR) || ': scan failed (' || "
+    "CAST(event_id AS VARCHAR) || ')' ORDER BY event_id) AS errs FROM events WHERE event_type = 'error' GROUP BY 1) e ON e.scan = s.scan",
     ["scans", "ch", "nw"], _SCAN_CTES))
 def e10_scan_summary(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     ev = T.Raw(spark, sf_dir).table("events")
-    errs = ev.filter(F.col("event_type") == "error").select(F.to_date("ts").alias("scan"))
+    errs = ev.filter(F.col("event_type") == "error").select(
+        F.to_date("ts").alias("scan"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("E"), (F.col("user_id") % 8).cast("string"), F.lit(": scan failed ("),
+                 F.col("event_id").cast("string"), F.lit(")")).alias("error"))
     return M.scan_summary(i["scans"], i["changes"], i["news"], errs)
 
 
