@@ -40,6 +40,7 @@ from .tokens import encoder, tokenizer_path
 
 END_ID = 2
 FRAME_IDS = 1 << 20
+ROWS = 2_000  # documents whose texts are objects at once
 INDEX_MAGIC, SEEK_MAGIC, SEEK_FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _MANIFEST = "part int, path string, n_docs long, n_tokens long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, path string"
@@ -150,8 +151,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 files.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 sink = files.open_output_stream(at)
                 out = TokenWriter(sink)
-            for doc_id, packed in zip(ids, enc.values([t or "" for t in batch.column(1).to_pylist()])):
-                out.add(doc_id, packed + end)
+            for a in range(0, len(ids), ROWS):
+                texts = [t or "" for t in batch.column(1).slice(a, ROWS).to_pylist()]
+                for doc_id, packed in zip(ids[a:a + ROWS], enc.values(texts)):
+                    out.add(doc_id, packed + end)
         if out is not None:
             out.close()
             sink.close()

@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .worker import held
+from .worker import give_back, held
 
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_PIECES = 600_000  # bound on what a worker remembers: two halves, of which the older goes when the newer is full
+MEMO_PIECES = 300_000  # bound on what a worker remembers: two halves, of which the older goes when the newer is full
 GROUP_BYTES = 1 << 16  # length of a joined text
-BATCH_BYTES = 8 << 20  # text handled at once
+BATCH_BYTES = 4 << 20  # text handled at once
 
 _BLANK = "\u0120"  # how byte-level vocabularies write a blank
 # ASCII white space but blank and newline; how the other white space starts in UTF-8
@@ -211,7 +211,7 @@ class Encoder:
                 out = [raw[a:b] for a, b in zip(at, at[1:])]
             yield from map(out.__getitem__, order)
             del coded, names, codes, found
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _cut(self, texts: list[str]):
         """The numbered pieces of texts, plain ones (cut by Arrow) first: (pieces, each text's place, where texts' pieces
