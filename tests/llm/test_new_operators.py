@@ -3,14 +3,18 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from conftest import SF_MID, SF_SMALL
-from tidewatch.llm import byte_bpe, conversations, queries, search
+from tidewatch.llm import byte_bpe, components, conversations, queries, search
+from tidewatch.session import cut_lineage
 
 DOCS = "doc_id long, text string, lang string, ids string, n long"
 CONV = "conv_id long, turn long, role string, text string, audit string"
@@ -178,3 +182,33 @@ def test_bpe_odd_rows(spark, library):
     assert byte_bpe.round_trip(df.limit(0)).collect() == []
     back = df.select(byte_bpe.decoded(byte_bpe.encoded(df["text"])).alias("back"), "text").collect()
     assert all(bytes(r["back"]) == (r["text"] or "").encode() for r in back)
+
+
+# ---------------------------------------------------------------- lineage and components
+
+
+def test_components_leave_no_shuffle_files(spark):
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    shuffles = lambda: set(Path(folder).rglob("shuffle_*.data"))
+    before = shuffles()
+    links = spark.createDataFrame([(k, k + 1) for k in range(100)], "x long, y long")
+    found = components.components(links)
+    for _ in range(50):  # they are deleted in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert len(left) <= 8 and found.count() == 101  # those of the last round at most
+
+
+def test_components_end_without_a_round_to_confirm(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    links = [(k, 1) for k in range(2, 30)] + [(90, k) for k in range(80, 90)] + [(5, 5)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    assert got == {k: 1 for k in range(1, 30)} | {k: 80 for k in range(80, 91)}
+    assert len(cuts) == 2  # the links, and one round
+    path = [(k, k + 1) for k in range(40)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(path, "x long, y long")).collect()}
+    assert got == {k: 0 for k in range(41)}
+    empty = spark.createDataFrame([(3, 3), (None, 4)], "x long, y long")
+    assert components.components(empty).count() == 0

@@ -6,6 +6,7 @@ when the driver happens to collect its garbage.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free the shuffle files of plans that nothing refers to any more. Spark deletes them once the driver's garbage is
+    collected, which a driver that only plans seldom does by itself; what a running task reads is still referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared storage, whatever storage that is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
